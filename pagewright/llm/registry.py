@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from pagewright.llm import packing, quality
+from pagewright.llm import line_dedup, mixing, near_dedup, packing, quality, sharding
 
 
 def queries() -> dict:
     return {
+        "op1_minhash_near_dedup": near_dedup.op1_minhash_near_dedup,
+        "op3_sharding": sharding.op3_sharding,
         "op5_quality_rules": quality.op5_quality_rules,
+        "op6_line_dedup": line_dedup.op6_line_dedup,
+        "op9_mixing": mixing.op9_mixing,
         "op10_best_fit_packing": packing.op10_best_fit_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_line_dedup": line_dedup.OP6_SQL}
