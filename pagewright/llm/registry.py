@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pagewright.llm import line_dedup, mixing, near_dedup, packing, quality, sharding
+from pagewright.llm import gif, line_dedup, mixing, near_dedup, packing, pii, quality, sharding
 
 
 def queries() -> dict:
     return {
         "op1_minhash_near_dedup": near_dedup.op1_minhash_near_dedup,
+        "op2_gif_media": gif.op2_gif_media,
         "op3_sharding": sharding.op3_sharding,
+        "op4_pii": pii.op4_pii,
         "op5_quality_rules": quality.op5_quality_rules,
         "op6_line_dedup": line_dedup.op6_line_dedup,
         "op9_mixing": mixing.op9_mixing,
