@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagewright.llm import gif, line_dedup, mixing, near_dedup, packing, pii, quality, sharding
+from pagewright.llm import gif, line_dedup, mixing, near_dedup, packing, pii, quality, sharding, toxicity
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_pii": pii.op4_pii,
         "op5_quality_rules": quality.op5_quality_rules,
         "op6_line_dedup": line_dedup.op6_line_dedup,
+        "op7_toxicity": toxicity.op7_toxicity,
         "op9_mixing": mixing.op9_mixing,
         "op10_best_fit_packing": packing.op10_best_fit_packing,
     }
