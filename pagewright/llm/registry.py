@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagewright.llm import gif, line_dedup, mixing, near_dedup, packing, pii, quality, sharding, toxicity
+from pagewright.llm import gif, line_dedup, mixing, near_dedup, packing, pii, quality, sharding, suffix_dedup, toxicity
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_quality_rules": quality.op5_quality_rules,
         "op6_line_dedup": line_dedup.op6_line_dedup,
         "op7_toxicity": toxicity.op7_toxicity,
+        "op8_suffix_array_dedup": suffix_dedup.op8_suffix_array_dedup,
         "op9_mixing": mixing.op9_mixing,
         "op10_best_fit_packing": packing.op10_best_fit_packing,
     }
