@@ -130,9 +130,13 @@ def mix(df: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple = WE
 def mixed_documents(df: DataFrame, **options) -> DataFrame:
     """The documents of the mix, as often as it takes them, sorted by shard and place; columns as in df."""
     seed = options.get("seed", 17)
-    m = mix(df, **options).where(F.size("draws") > 0).select(F.col("doc_id").alias("__d"), F.col("h").alias("__h"), "draws").dropDuplicates(["__d", "__h"])
-    j = df.withColumn("__x", F.xxhash64(F.lit(seed), "doc_id", "text")).join(m, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__x") == F.col("__h")))
-    return j.withColumn("__w", F.explode("draws")).repartitionByRange("__w.shard", "__w.place").sortWithinPartitions("__w.shard", "__w.place").select(*df.columns)
+    m = mix(df, **options).groupBy(F.col("doc_id").alias("__d"), F.col("h").alias("__h")).agg(F.flatten(F.collect_list("draws")).alias("__draws"), F.count("*").alias("__n"))
+    m = Scratch(df.sparkSession, "mixed").table(m.where(F.size("__draws") > 0), "draws")
+    rows = df.withColumn("__x", F.xxhash64(F.lit(seed), "doc_id", "text"))
+    if m.where("__n > 1").limit(1).count():  # repeated rows: one of them stands for the draws of all
+        rows = rows.dropDuplicates(["doc_id", "__x"])
+    j = rows.join(m, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__x") == F.col("__h")))
+    return j.withColumn("__w", F.explode("__draws")).repartitionByRange("__w.shard", "__w.place").sortWithinPartitions("__w.shard", "__w.place").select(*df.columns)
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:
