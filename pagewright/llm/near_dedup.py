@@ -154,59 +154,109 @@ def _estimate_filter(pairs: DataFrame) -> DataFrame:
     return pairs.select("u", "v", "su", "sv").mapInArrow(run, "u long, v long")
 
 
-def _cross_pairs(members: DataFrame) -> DataFrame:
-    """u, v from members(key, i, j, mine, id, n, comp, sig), sorted by (key, i, j): pairs of different components
-    whose sizes and signatures allow a link. In a group with i < j only pairs across the two blocks are new."""
-
-    def pairs_of(g: dict) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        m = len(g["id"])
-        for x in range(m - 1):
-            rest = slice(x + 1, m)
-            ok = (g["comp"][rest] != g["comp"][x]) & (100 * np.minimum(g["n"][rest], g["n"][x]) >= PERCENT * np.maximum(g["n"][rest], g["n"][x]))
-            if g["i"] != g["j"]:
-                ok &= g["mine"][rest] != g["mine"][x]
-            at = np.flatnonzero(ok) + x + 1
-            if len(at):
-                at = at[(g["sig"][at] == g["sig"][x]).mean(axis=1) >= LEAST_ESTIMATE]
-                if len(at):
-                    yield np.minimum(g["id"][at], g["id"][x]), np.maximum(g["id"][at], g["id"][x])
+def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The groups of equal first three columns, of batches sorted by them."""
+    kept: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        head = np.stack([b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3)])
+        cuts = [0, *(np.flatnonzero((head[:, 1:] != head[:, :-1]).any(axis=0)) + 1), b.num_rows]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            key = tuple(head[:, lo])
+            if key != last and kept:
+                yield pa.Table.from_batches(kept)
+                kept = []
+            last = key
+            kept.append(b.slice(lo, hi - lo))
+    if kept:
+        yield pa.Table.from_batches(kept)
+
+
+class Block:
+    """The members (key, i, j, band, mine, id, n, comp, sig, ...) of one bucket, or of two blocks i < j of a large one."""
+
+    def __init__(self, t: pa.Table, bands: int):
+        col = lambda k: t.column(k).to_numpy().astype(np.int64)
+        self.m, self.i, self.j, self.band = t.num_rows, t.column(1)[0].as_py(), t.column(2)[0].as_py(), t.column(3)[0].as_py()
+        self.mine, self.id, self.n, self.comp = col(4), col(5), col(6), col(7)
+        self.sig = np.frombuffer(b"".join(t.column(8).to_pylist()), np.uint16).reshape(self.m, bands, -1)
+
+    def partners(self, x: int) -> tuple[np.ndarray, np.ndarray]:
+        """Later members of other components that may link with x, and the estimates. A pair is looked at in the first
+        band that it shares, and of pairs of blocks only where its members lie in both."""
+        rest = slice(x + 1, self.m)
+        ok = (self.comp[rest] != self.comp[x]) & (100 * np.minimum(self.n[rest], self.n[x]) >= PERCENT * np.maximum(self.n[rest], self.n[x]))
+        if self.i != self.j:
+            ok &= self.mine[rest] != self.mine[x]
+        at = np.flatnonzero(ok) + x + 1
+        if not len(at):
+            return at, np.empty(0)
+        same = self.sig[at] == self.sig[x]
+        estimate = same.mean(axis=(1, 2))
+        ok = (estimate >= LEAST_ESTIMATE) & (same.all(axis=2).argmax(axis=1) == self.band)
+        return at[ok], estimate[ok]
+
+
+def _open_members(members: DataFrame, bands: int) -> DataFrame:
+    """Of members sorted by (key, i, j), those with a pair that is still open: key, i, j, id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def groups():
-            kept: list[pa.RecordBatch] = []
-            last = None
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                head = np.stack([b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3)])
-                cuts = [0, *(np.flatnonzero((head[:, 1:] != head[:, :-1]).any(axis=0)) + 1), b.num_rows]
-                for lo, hi in zip(cuts, cuts[1:], strict=False):
-                    key = tuple(head[:, lo])
-                    if key != last and kept:
-                        yield kept
-                        kept = []
-                    last = key
-                    kept.append(b.slice(lo, hi - lo))
-            if kept:
-                yield kept
-
-        out_u, out_v, n = [], [], 0
-        for parts in groups():
-            t = pa.Table.from_batches(parts)
+        for t in _sorted_groups(batches):
             if t.num_rows < 2:
                 continue
-            col = lambda k: t.column(k).to_numpy().astype(np.int64)  # noqa: E731, B023
-            g = {"i": t.column(1)[0].as_py(), "j": t.column(2)[0].as_py(), "mine": col(3), "id": col(4), "n": col(5), "comp": col(6)}
-            g["sig"] = np.frombuffer(b"".join(t.column(7).to_pylist()), np.uint16).reshape(t.num_rows, -1)
-            for u, v in pairs_of(g):
-                out_u.append(u)
-                out_v.append(v)
-                n += len(u)
-            if n > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_u)), pa.array(np.concatenate(out_v))], names=["u", "v"])
-                out_u, out_v, n = [], [], 0
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_u)), pa.array(np.concatenate(out_v))], names=["u", "v"])
+            g = Block(t, bands)
+            if (g.comp == g.comp[0]).all():
+                continue
+            open_ = np.zeros(g.m, bool)
+            for x in range(g.m - 1):
+                at, _ = g.partners(x)
+                if len(at):
+                    open_[x] = True
+                    open_[at] = True
+            if open_.any():
+                yield from t.filter(pa.array(open_)).select([0, 1, 2, 5]).combine_chunks().to_batches()
+
+    return members.mapInArrow(run, "key long, i int, j int, id long")
+
+
+def _block_links(members: DataFrame, bands: int) -> DataFrame:
+    """u, v: links that join components within a group, confirmed on the full sets (the last column of members).
+
+    Each member meets its partners from the likeliest on, but only those that no link has joined to it yet.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _sorted_groups(batches):
+            g = Block(t, bands)
+            xs = t.column(9).combine_chunks()
+            starts, flat = xs.offsets.to_numpy(), xs.values.to_numpy().view(np.uint64)
+            sets = [flat[starts[k] : starts[k + 1]] for k in range(g.m)]
+            root = {int(c): int(c) for c in g.comp}
+
+            def find(c: int, root=root) -> int:
+                while root[c] != c:
+                    root[c] = root[root[c]]
+                    c = root[c]
+                return c
+
+            u, v = [], []
+            for x in range(g.m - 1):
+                at, estimate = g.partners(x)
+                for y in at[np.argsort(-estimate, kind="stable")]:
+                    a, b = find(int(g.comp[x])), find(int(g.comp[y]))
+                    if a == b:
+                        continue
+                    sx, sy = sets[x], sets[y]
+                    at_y = np.searchsorted(sy, sx)
+                    both = int((sy[np.minimum(at_y, len(sy) - 1)] == sx).sum())
+                    if 100 * both >= PERCENT * (len(sx) + len(sy) - both):
+                        root[max(a, b)] = min(a, b)
+                        u.append(int(min(g.id[x], g.id[y])))
+                        v.append(int(max(g.id[x], g.id[y])))
+            if u:
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
     return members.mapInArrow(run, "u long, v long")
 
@@ -219,15 +269,18 @@ class NearDuplicates:
         self.scratch = Scratch(self.spark, "near-dedup")
         self.docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
 
+    def full_sets(self, ids: DataFrame) -> DataFrame:
+        """id and xs of the ids, a written table."""
+        wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+        texts = self.docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), "th", "text").join(wanted, "id", "left_semi")
+        if self.doubled:  # an id with several texts: the class table chose one
+            texts = texts.join(self.picks, ["id", "th"], "left_semi").dropDuplicates(["id"])
+        return self.scratch.table(add_sets(texts), "sets")
+
     def verify(self, pairs: DataFrame, name: str) -> DataFrame:
         """The rows of pairs(u, v), a written table, that the full sets confirm."""
         ids = self.scratch.table(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "ids")
-        n = ids.count()
-        wanted = F.broadcast(ids) if n <= BROADCAST_IDS else ids
-        # an id with several texts is a node with several sets; the class digest chose one text of it
-        texts = self.docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), "th", "text").join(wanted, "id", "left_semi")
-        picked = texts.join(F.broadcast(self.picks) if self.few_picks else self.picks, ["id", "th"], "left_semi") if self.doubled else texts
-        sets = self.scratch.table(add_sets(picked), "sets")
+        sets = self.full_sets(ids)
         a, b = sets.select(F.col("id").alias("u"), F.col("xs").alias("x")), sets.select(F.col("id").alias("v"), F.col("xs").alias("y"))
         both = F.size(F.array_intersect("x", "y"))
         confirmed = pairs.join(a, "u").join(b, "v").where(100 * both >= PERCENT * (F.size("x") + F.size("y") - both)).select("u", "v")
@@ -241,11 +294,11 @@ class NearDuplicates:
         node = F.coalesce("doc_id", F.lit(NULL_ID))
         classes = s.table(sigs.where("n > 0").groupBy("dg").agg(F.min(F.struct(node.alias("id"), F.col("th"))).alias("x"), F.count("*").alias("copies")).select("dg", "x.id", "x.th", "copies"), "classes")
         n_classes, n_ids = classes.agg(F.count("*"), F.count_distinct("id")).first()
-        self.doubled, self.few_picks = n_classes != n_ids or self.docs.select(F.count("*") != F.count_distinct(node)).first()[0], n_classes <= BROADCAST_IDS
+        self.doubled = n_classes != n_ids or self.docs.select(F.count("*") != F.count_distinct(node)).first()[0]
         self.picks = classes.select("id", "th")
         heads = sigs.withColumn("id", node).join(classes.select("id", "th", "dg"), ["id", "th", "dg"]).select("id", "n", "sig", "keys")
         heads = s.table(heads.dropDuplicates(["id"]) if self.doubled else heads, "heads")
-        members = s.table(heads.select("id", "n", F.explode("keys").alias("key")), "members")
+        members = s.table(heads.select("id", "n", F.posexplode("keys").alias("band", "key")), "members")
         # one representative for each bucket of several classes
         stars = s.table(members.groupBy("key").agg(F.min(F.struct(F.xxhash64("id").alias("o"), F.col("id"), F.col("n"))).alias("r"), F.count("*").alias("m")).where("m > 1").select("key", "m", F.col("r.id").alias("rep"), F.col("r.n").alias("rn")), "stars")
         in_stars = members.join(stars, "key")
@@ -257,15 +310,18 @@ class NearDuplicates:
         comps = connected_components(links, scratch)
         # buckets that still hold several components, in blocks
         with_comp = members.join(stars.select("key", "m"), "key").join(comps.select(F.col("u").alias("id"), F.col("v").alias("c")), "id", "left").withColumn("comp", F.coalesce("c", "id"))
-        with_comp = s.table(with_comp.select("key", "m", "id", "n", "comp"), "open-members")
+        with_comp = s.table(with_comp.select("key", "m", "band", "id", "n", "comp"), "open-members")
         open_keys = s.table(with_comp.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("key"), "open-keys")
         blocks = F.ceil(F.col("m") / BLOCK).cast("int")
         left = with_comp.join(open_keys, "key", "left_semi").withColumn("mine", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        left = left.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "id", "n", "comp").join(by_sig, "id").select("key", "i", "j", "mine", "id", "n", "comp", "sig")
-        crossed = _cross_pairs(left.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")).distinct().join(tested, ["u", "v"], "left_anti")
-        crossed = s.table(crossed, "cross-pairs")
-        if crossed.limit(1).count():
-            comps = connected_components(links.union(self.verify(crossed, "cross-links")), scratch)
+        left = left.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "band", "mine", "id", "n", "comp").join(by_sig, "id").select("key", "i", "j", "band", "mine", "id", "n", "comp", "sig")
+        grouped = lambda df: df.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+        still = s.table(_open_members(grouped(left), BANDS), "still-open")
+        if still.limit(1).count():
+            sets = self.full_sets(s.table(still.select("id").distinct(), "open-ids"))
+            rows = still.join(with_comp, ["key", "id"]).withColumn("mine", F.pmod(F.xxhash64("id"), blocks).cast("int")).join(by_sig, "id").join(sets, "id")
+            found = s.table(_block_links(grouped(rows.select("key", "i", "j", "band", "mine", "id", "n", "comp", "sig", "xs")), BANDS).distinct(), "block-links")
+            comps = connected_components(links.union(found), scratch)
         named = s.table(classes.join(comps.select(F.col("u").alias("id"), F.col("v").alias("c")), "id", "left").select(F.col("dg").alias("d2"), F.coalesce("c", "id").alias("comp")), "named")
         out = sigs.select("doc_id", "th", "n", "dg").join(named, F.col("dg") == F.col("d2"), "left")
         comp = F.coalesce("comp", node)
