@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagewright.llm import gif, line_dedup, mixing, near_dedup, packing, pii, quality, sharding, suffix_dedup, toxicity
+from pagewright.llm import gif, line_dedup, mixing, near_dedup, oracle, packing, pii, quality, sharding, suffix_dedup, toxicity
 
 
 def queries() -> dict:
@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_line_dedup": line_dedup.OP6_SQL}
+    return oracle.oracle_queries()
