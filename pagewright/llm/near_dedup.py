@@ -2,12 +2,13 @@
 
 Texts with equal shingle sets are one class, found by a 128-bit digest, so copies are never paired. A class has
 `bands * rows` universal (multiply-shift) hash minima. In each bucket of a band, every class is compared with one
-representative: first by signature, then on the full sets. Buckets that still hold several components after that
-are gone through again, in blocks: pairs of classes from different components whose sizes and signatures allow the
-similarity are compared on their full sets as well. So no candidate pair is left out that could join two
-components, and large groups that their representative already joins cost one comparison a member.
+representative: first by signature, then on the full sets. Buckets whose members then lie in several components are
+gone through again in blocks of `BLOCK` members: pairs across components whose sizes and signatures allow the
+similarity are compared on their full sets inside the block, the likeliest first, until a link joins their components.
+So no candidate pair that could join two components is left out, a task emits at most one link for each member, and
+members that the representative already joins cost one comparison.
 
-A pair at similarity 0.75 meets in a bucket with probability above 0.9999 (40 bands of 5 minima).
+A pair at similarity 0.75 meets in a bucket with probability 0.99998 (40 bands of 5 minima).
 
 Defined results: a text without words, empty or null, has no shingles and links with nothing; rows with one doc_id
 are one node; a null doc_id is a node of its own that shows null; an empty table gives an empty result.

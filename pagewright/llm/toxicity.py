@@ -81,8 +81,35 @@ class Model:
         return score
 
 
-def fit_nnpu(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, support: int = 8, epochs: int = 300, rate: float = 0.05, l2: float = 2e-5, seed: int = 5) -> Model:
-    """Adam on the non-negative risk, all rows at once; features that fewer than `support` rows have are left out."""
+def _descend(row, column, value, n_p: int, n_u: int, d: int, prior: float, w, b: float, epochs: int, rate: float, shrink: float):
+    """Proximal descent with momentum on the non-negative risk, all rows at once; `shrink` is the absolute-value penalty."""
+    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -50, 50)))
+    speed = np.zeros(d + 1)
+    for _ in range(epochs):
+        z = np.bincount(row, weights=w[column] * value, minlength=n_p + n_u) + b
+        zp, zu = z[:n_p], z[n_p:]
+        minus = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+        g = np.empty(n_p + n_u)
+        if minus >= 0:
+            g[:n_p] = -prior / n_p  # the slopes of l(+) and -l(-) add up to -1
+            g[n_p:] = sig(zu) / n_u
+        else:
+            g[:n_p] = prior * sig(zp) / n_p
+            g[n_p:] = -sig(zu) / n_u
+        grad = np.append(np.bincount(column, weights=g[row] * value, minlength=d), g.sum())
+        speed = 0.9 * speed - rate * grad
+        w = w + speed[:d]
+        w = np.sign(w) * np.maximum(0, np.abs(w) - rate * shrink)
+        b += speed[d]
+    return w, b
+
+
+def fit_nnpu(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, support: int = 8, sparsity: float = 0.1) -> Model:
+    """Two descents: one with an absolute-value penalty of sparsity * prior, which leaves only words whose share among
+    toxic texts differs by more than chance, and one without it over those words, which lets their weights grow.
+
+    Features that fewer than `support` rows have are left out.
+    """
     rows = pos + unl
     flat = np.concatenate(rows) if rows else np.empty(0, np.int32)
     feats, inverse, count = np.unique(flat, return_inverse=True, return_counts=True)
@@ -91,31 +118,20 @@ def fit_nnpu(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, support
     row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     row, column = row[column >= 0], column[column >= 0]
     feats = feats[keep]
-    n_p, n_u, d = len(pos), len(unl), len(feats)
     # words that most texts share say little; they weigh less while fitting, and the scale is folded in at the end
     idf = np.log(1 + len(rows) / count[keep]) / np.log(1 + len(rows) / support)
-    value = idf[column]
-    w, b = np.zeros(d), np.log(prior / (1 - prior))
-    m, v = np.zeros(d + 1), np.zeros(d + 1)
-    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -50, 50)))
-    for t in range(1, epochs + 1):
-        z = np.bincount(row, weights=w[column] * value, minlength=len(rows)) + b
-        zp, zu = z[:n_p], z[n_p:]
-        soft = np.logaddexp
-        minus = soft(0, zu).mean() - prior * soft(0, zp).mean()
-        g = np.empty(len(rows))
-        if minus >= 0:
-            g[:n_p] = -prior * (1 - sig(zp)) / n_p - prior * sig(zp) / n_p
-            g[n_p:] = sig(zu) / n_u
-        else:
-            g[:n_p] = prior * sig(zp) / n_p
-            g[n_p:] = -sig(zu) / n_u
-        grad = np.append(np.bincount(column, weights=g[row] * value, minlength=d) + l2 * np.sign(w), g.sum())
-        m = 0.9 * m + 0.1 * grad
-        v = 0.999 * v + 0.001 * grad**2
-        step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        w, b = w - step[:d], b - step[d]
-    return Model(prior, float(b), {int(f): float(x) for f, x in zip(feats, w * idf, strict=True) if abs(x) > 1e-3})
+    b = float(np.log(prior / (1 - prior)))
+    sizes = (len(pos), len(unl))
+    w, b = _descend(row, column, idf[column], *sizes, len(feats), prior, np.zeros(len(feats)), b, FIRST_EPOCHS, FIRST_RATE, sparsity * prior)
+    used = np.abs(w) > 1e-3
+    place = np.where(used, np.cumsum(used) - 1, -1)[column]
+    row, column = row[place >= 0], place[place >= 0]
+    feats, idf, w = feats[used], idf[used], w[used]
+    w, b = _descend(row, column, idf[column], *sizes, len(feats), prior, w, b, SECOND_EPOCHS, SECOND_RATE, 0.0)
+    return Model(prior, float(b), {int(f): float(x) for f, x in zip(feats, w * idf, strict=True)})
+
+
+FIRST_EPOCHS, FIRST_RATE, SECOND_EPOCHS, SECOND_RATE = 400, 0.1, 1500, 1.0
 
 
 def train(df: DataFrame, labels: DataFrame, positives: int = 6000, unlabelled: int = 12000) -> Model:
