@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,20 +66,19 @@ def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
         w *= 2
     if OWNERS > w:
         s = np.minimum(s[: len(s) - (OWNERS - w)], s[OWNERS - w :])
-    # s[i]: the least hash of window i. Its leftmost place: the next position at or after i that holds it.
-    n = len(s)
-    at = np.arange(n)
-    place = np.full(n, -1)
+    # s[i]: the least hash of window i. The window's anchor changes where that hash does, or where it falls off the left end.
+    starts = np.flatnonzero(np.concatenate([[True], (s[1:] != s[:-1]) | (h[: len(s) - 1] == s[:-1])]))
+    ends = np.append(starts[1:], len(s)) - 1
+    want = s[starts]
+    p = np.full(len(starts), -1)
+    miss = np.arange(len(starts))
     for k in range(OWNERS):
-        miss = np.flatnonzero(place < 0) if k else at
+        hit = h[starts[miss] + k] == want[miss]
+        p[miss[hit]] = starts[miss[hit]] + k
+        miss = miss[~hit]
         if not len(miss):
             break
-        hit = miss[h[miss + k] == s[miss]]
-        place[hit] = hit + k
-    starts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-    ends = np.concatenate([starts[1:], [n]]) - 1
-    p = place[starts]
-    return h[p], p, starts, ends
+    return want, p, starts, ends
 
 
 def _bytes(t: pa.Scalar) -> bytes:
@@ -124,84 +124,109 @@ def segments(df: DataFrame) -> DataFrame:
     return df.select("doc", "th", "text", "hot").mapInArrow(run, "doc long, th long, h long, seg binary, pos long, back long")
 
 
-def least_docs(segs: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
-    """For each window of each segment, the least doc of all segments that hold the same 50 bytes at a window start."""
-    size = np.array([len(s) for s in segs])
-    begin = np.cumsum(size) - size
-    text = np.frombuffer(b"".join(segs), np.uint8)
+def least_docs(text: np.ndarray, begin: np.ndarray, size: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """For each window start of the text, a row of segments, the least doc of all segments that hold the same 50 bytes at
+    a window start; 0 elsewhere."""
     sa = suffix_array(text)
-    of = np.repeat(np.arange(len(segs)), size)
+    of = np.repeat(np.arange(len(begin)), size)
     starts = sa[sa + SPAN <= begin[of[sa]] + size[of[sa]]]  # windows within their segment, in the order of suffixes
     same = np.zeros(len(starts), bool)
     for lo in range(1, len(starts), 200_000):  # adjacent prefixes
-        a, b = starts[lo : lo + 200_000], starts[lo - 1 : lo - 1 + 200_000][: len(starts[lo : lo + 200_000])]
-        ok = np.ones(len(a), bool)
-        for k in range(0, SPAN):
-            ok &= text[a + k] == text[b + k]
-            if k % 10 == 9 and not ok.any():
-                break
-        same[lo : lo + len(a)] = ok
+        a = starts[lo : lo + 200_000]
+        b = starts[lo - 1 : lo - 1 + len(a)]
+        left = np.flatnonzero(text[a] == text[b])
+        for k in range(1, SPAN):
+            left = left[text[a[left] + k] == text[b[left] + k]]
+        same[lo + left] = True
     heads = np.flatnonzero(~same)
     least = np.minimum.reduceat(docs[of[starts]], heads) if len(heads) else np.empty(0, np.int64)
     out = np.zeros(len(text), np.int64)
     out[starts] = np.repeat(least, np.diff(np.append(heads, len(starts))))
-    return [out[a : a + n - SPAN + 1] for a, n in zip(begin, size, strict=True)]
+    return out
 
 
-def _by_offset(segs: list[bytes], backs: np.ndarray, docs: np.ndarray) -> list[np.ndarray]:
+def _by_offset(text: np.ndarray, begin: np.ndarray, size: np.ndarray, docs: np.ndarray, backs: np.ndarray) -> np.ndarray:
     """The same for very many variants of one anchor: equal windows lie at equal offsets from it, so one offset at a time."""
-    out = [np.zeros(len(s) - SPAN + 1, np.int64) for s in segs]
+    out = np.zeros(len(text), np.int64)
     for k in range(OWNERS):
-        has = [v for v, s in enumerate(segs) if 0 <= backs[v] - k <= len(s) - SPAN]
-        if not has:
+        at = backs - k
+        has = np.flatnonzero((at >= 0) & (at <= size - SPAN))
+        if not len(has):
             continue
-        w = np.frombuffer(b"".join(segs[v][backs[v] - k : backs[v] - k + SPAN] for v in has), f"S{SPAN}")
-        order = np.argsort(w, kind="stable")
-        heads = np.flatnonzero(np.concatenate([[True], w[order][1:] != w[order][:-1]]))
-        least = np.repeat(np.minimum.reduceat(docs[has][order], heads), np.diff(np.append(heads, len(has))))
-        for v, d in zip(np.array(has)[order].tolist(), least.tolist(), strict=True):
-            out[v][backs[v] - k] = d
+        start = begin[has] + at[has]
+        w = np.ascontiguousarray(text[start[:, None] + np.arange(SPAN)]).view(f"V{SPAN}").ravel()
+        _, inverse = np.unique(w, return_inverse=True)
+        order = np.argsort(inverse, kind="stable")
+        heads = np.flatnonzero(np.concatenate([[True], inverse[order][1:] != inverse[order][:-1]]))
+        out[start[order]] = np.repeat(np.minimum.reduceat(docs[has][order], heads), np.diff(np.append(heads, len(has))))
     return out
 
 
+def _solve(t: pa.Table) -> Iterator[pa.RecordBatch]:
+    """h, sid and runs of whole anchors (h, sid, back, doc, seg). An anchor beyond twice GROUP_BYTES goes alone."""
+    t = t.combine_chunks()
+    h, size = t.column(0).to_numpy(), pc.binary_length(t.column(4)).to_numpy()
+    heads = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    large = np.flatnonzero(np.add.reduceat(size, heads) > 2 * GROUP_BYTES)
+    if len(heads) > 1 and len(large):
+        ends = np.append(heads[1:], len(h))
+        cuts = sorted({0, len(h), *heads[large].tolist(), *ends[large].tolist()})
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            yield _solve_rows(t.slice(lo, hi - lo).combine_chunks(), lo in set(heads[large].tolist()))
+    else:
+        yield _solve_rows(t, len(heads) == 1 and len(large) > 0)
+
+
+def _solve_rows(t: pa.Table, by_offset: bool) -> pa.RecordBatch:
+    seg = t.column(4).chunk(0)
+    offsets = np.frombuffer(seg.buffers()[1], np.int32)[seg.offset : seg.offset + len(seg) + 1].astype(np.int64)
+    text = np.frombuffer(seg.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    begin, size = offsets[:-1] - offsets[0], np.diff(offsets)
+    docs = t.column(3).to_numpy()
+    if by_offset:
+        found = _by_offset(text, begin, size, docs, t.column(2).to_numpy())
+    else:
+        found = least_docs(text, begin, size, docs)
+    windows = size - SPAN + 1
+    first = np.cumsum(windows) - windows
+    of = np.repeat(np.arange(len(begin)), windows)
+    at = np.arange(len(of)) - first[of]
+    doc = found[begin[of] + at]
+    cut = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (doc[1:] != doc[:-1])]))
+    last = np.append(cut[1:], len(of)) - 1
+    runs = pa.StructArray.from_arrays([pa.array(at[cut], pa.int32()), pa.array(at[last], pa.int32()), pa.array(doc[cut])], names=["lo", "hi", "doc"])
+    ends = np.append(np.searchsorted(of[cut], np.arange(len(begin))), len(cut))
+    return pa.RecordBatch.from_arrays([t.column(0).chunk(0), t.column(1).chunk(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), runs)], names=["h", "sid", "runs"])
+
+
 def window_docs(variants: DataFrame) -> DataFrame:
-    """h, sid and runs (lo, hi, doc: windows lo to hi were first seen in doc) of variants(h, sid, back, doc, seg), sorted by h."""
-    run_type = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32()), ("doc", pa.int64())]))
-
-    def solve(rows: list[tuple]) -> pa.RecordBatch:
-        hs = np.array([r[0] for r in rows], np.int64)
-        docs = np.array([r[3] for r in rows], np.int64)
-        segs = [r[4] for r in rows]
-        if sum(map(len, segs)) > 2 * GROUP_BYTES:
-            found = _by_offset(segs, np.array([r[2] for r in rows]), docs)
-        else:
-            found = least_docs(segs, docs)
-        runs = []
-        for f in found:
-            cut = np.flatnonzero(np.concatenate([[True], f[1:] != f[:-1]]))
-            end = np.append(cut[1:], len(f)) - 1
-            runs.append([{"lo": int(a), "hi": int(z), "doc": int(f[a])} for a, z in zip(cut, end, strict=True)])
-        return pa.RecordBatch.from_arrays([pa.array(hs), pa.array([r[1] for r in rows], pa.int64()), pa.array(runs, run_type)], names=["h", "sid", "runs"])
+    """h, sid and runs (lo, hi, doc: windows lo to hi were first seen in doc) of variants(h, sid, back, doc, seg), sorted by h.
+
+    A sort takes whole anchors of about GROUP_BYTES together; one anchor beyond twice that goes offset by offset.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []  # whole anchors that wait for a sort
-        group: list[tuple] = []  # the anchor being read
-        n = m = 0
+        held: list[pa.RecordBatch] = []  # whole anchors, and the one being read
+        n = 0
         for b in batches:
-            for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if group and r[0] != group[0][0]:
-                    if n + m > GROUP_BYTES and held:
-                        yield solve(held)
-                        held, n = [], 0
-                    held.extend(group)
-                    n, group, m = n + m, [], 0
-                group.append(r)
-                m += len(r[4])
-        if held and n + m > GROUP_BYTES:
-            yield solve(held)
-            held = []
-        if held or group:
-            yield solve([*held, *group])
+            if not b.num_rows:
+                continue
+            h = b.column(0).to_numpy()
+            cuts = np.flatnonzero(h[1:] != h[:-1]) + 1
+            if held and h[0] != held[-1].column(0)[-1].as_py():
+                cuts = np.concatenate([[0], cuts])
+            size = np.cumsum([0, *np.diff(np.frombuffer(b.column(4).buffers()[1], np.int32)[b.column(4).offset : b.column(4).offset + b.num_rows + 1])])
+            at = 0
+            for c in cuts.tolist():
+                if n + size[c] - size[at] >= GROUP_BYTES:
+                    part = [*held, b.slice(at, c - at)] if c > at else held
+                    if part:
+                        yield from _solve(pa.Table.from_batches(part))
+                    held, n, at = [], 0, c
+            held.append(b.slice(at))
+            n += int(size[-1] - size[at])
+        if held:
+            yield from _solve(pa.Table.from_batches(held))
 
     return variants.select("h", "sid", "back", "doc", "seg").mapInArrow(run, "h long, sid long, runs array<struct<lo:int,hi:int,doc:bigint>>")
 
@@ -246,9 +271,11 @@ def _free(spark) -> None:
 def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """doc, th and spans (s, e) of the covered bytes of docs(doc, th, text); a written table."""
     spark, s = docs.sparkSession, scratch
-    hot = s.table(anchor_rows(docs).select(F.explode("hs").alias("h"), "doc").groupBy("h").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("h"), "hot")
+    found = s.table(anchor_rows(docs), "anchors")
+    hot = s.table(found.select(F.explode("hs").alias("h"), "doc").groupBy("h").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("h"), "hot")
     _free(spark)
-    places = s.table(anchor_rows(docs).select("doc", "th", F.explode("hs").alias("h")).join(hot, "h", "left_semi"), "places")
+    places = s.table(found.select("doc", "th", F.explode("hs").alias("h")).join(hot, "h", "left_semi"), "places")
+    s.drop(found)
     _free(spark)
     hot_of = s.table(places.groupBy("doc", "th").agg(F.collect_list("h").alias("hot")), "hot-of")  # bounded by a document's own anchors
     s.drop(places, hot)
