@@ -21,6 +21,7 @@ rows that share a doc_id never remove from each other; an empty table gives an e
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -263,9 +264,11 @@ def cut_texts(df: DataFrame) -> DataFrame:
 
 
 def _free(spark) -> None:
-    """Lets the shuffle files of finished steps go: frames that are unreachable are cleaned after a collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Lets the shuffle files of finished steps go: frames that are unreachable are cleaned shortly after a collection."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.7)
 
 
 def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
