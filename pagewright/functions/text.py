@@ -44,9 +44,9 @@ def _numeric(c: Column, pattern: str, base: int) -> Column:
     def char(n: Column) -> Column:
         value = F.when(F.length(n) <= 8, F.conv(n, base, 10).cast("long"))
         ok = lambda v: (v <= 0x10FFFF) & ~v.between(0xD800, 0xDFFF)
-        return let(value, lambda v: F.when(ok(v), F.substring(F.decode(F.unhex(F.lpad(F.hex(v), 8, "0")), "UTF-32"), 1, 1)).otherwise(F.lit("\ufffd")))
+        return let(value, lambda v: F.when(ok(v), F.decode(F.unhex(F.lpad(F.hex(v), 8, "0")), "UTF-32")).otherwise(F.lit("\ufffd")))
 
-    joined = F.array_join(F.zip_with(parts, digits, lambda p, n: F.concat(p, F.coalesce(char(n), F.lit("")))), "")
+    joined = F.array_join(F.zip_with(parts, digits, lambda p, n: F.concat(p, F.when(n.isNull(), "").otherwise(char(n)))), "")
     return F.when(c.rlike(pattern), joined).otherwise(c)
 
 
