@@ -13,6 +13,7 @@ often as they occur. An empty table packs to an empty result. Other columns are
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -38,17 +39,20 @@ class ByteLevelIds:
     """Ids of a byte-level BPE file (tokenizers' JSON), as little-endian 32-bit bytes.
 
     The file's vocabulary numbers tokens in the order of their merges, so its ids are also the ranks by which
-    tiktoken merges, and that library's encoder gives the same ids several times faster. Special strings in a text
-    are ordinary text.
+    tiktoken merges, and that library's encoder gives the same ids several times faster. Added tokens of the file
+    cut a text and are their own ids, as the tokenizers library has it; all texts go to that library where
+    a flag or a normalizer of the file lets a token match other than its own string.
     """
 
     def __init__(self, path: str):
         import json
+        import re
 
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            file = json.load(f)
+        model, added = file["model"], file.get("added_tokens") or []
         # byte-level files write each byte as a printable character: these as themselves, the others from 256 on
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte_of = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(sorted(set(range(256)) - set(printable)))}
@@ -58,10 +62,29 @@ class ByteLevelIds:
             raise ValueError(f"{path}: ids do not follow the order of merges")
         known = set(merged)
         self.encoding = tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks={t: i for t, i in ranks.items() if i in known or len(t) == 1}, special_tokens={})
+        self.path, self._library = path, None
+        self.added = {t["content"]: t["id"].to_bytes(4, "little") for t in added}
+        self.plain = not file.get("normalizer") and not any(t[flag] for t in added for flag in ("single_word", "lstrip", "rstrip"))
+        # the leftmost token, and of those that start there the longest
+        self.cuts = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if added else None
 
-    def encode(self, text: str) -> bytes:
+    def library(self, text: str) -> bytes:
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_file(self.path)
+        return array("I", self._library.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def ordinary(self, text: str) -> bytes:
         return self.encoding.encode_to_numpy(text, disallowed_special=()).tobytes()
 
+    def encode(self, text: str) -> bytes:
+        if not self.plain:
+            return self.library(text)
+        if not self.cuts:
+            return self.ordinary(text)
+        return b"".join(self.added.get(part) or self.ordinary(part) for part in self.cuts.split(text) if part)
+
 
 #: How byte-level files of this kind split a text before merging. A fixed value of the format.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"

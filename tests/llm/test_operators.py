@@ -503,3 +503,32 @@ def test_packing(docs, corpus, none):
         want = tok.encode(t or "", add_special_tokens=False).ids + [2]
         assert np.frombuffer(b"".join(ids[d][k] for k in sorted(ids[d])), "<u4").tolist() == want
     assert packing.pack_documents(none).count() == 0
+
+
+def library_ids(text, path=None):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path or packing.tokenizer_file()).encode(text, add_special_tokens=False).ids
+
+
+def test_added_tokens_of_the_file(spark, tmp_path):
+    import json
+
+    e = "<|endoftext|>"
+    texts = [e, f"{e}start", f"end{e}", f"a {e} b", f"x{e}{e}y", f"a \n {e}\n\n {e} ", "<|endoftext|", f"<|{e}|>", f"é {e} 日本", "plain"]
+    enc = packing.ByteLevelIds(packing.tokenizer_file())
+    for t in texts:
+        assert np.frombuffer(enc.encode(t), "<u4").tolist() == library_ids(t), t
+    got = {r["doc_id"]: r["ids"] for r in rows(packing.pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), with_ids=True))}
+    for k, t in enumerate(texts):
+        assert np.frombuffer(got[k], "<u4").tolist() == [*library_ids(t), 2]
+    # flags widen what a token takes, and a longer token wins where two start
+    file = json.loads(Path(packing.tokenizer_file()).read_text(encoding="utf-8"))
+    token = file["added_tokens"][0]
+    for flags in ({}, {"lstrip": True}, {"rstrip": True}, {"single_word": True}):
+        file["added_tokens"] = [token | flags, token | {"id": 50257, "content": "<|endoftext|>>"}]
+        path = tmp_path / f"{'-'.join(flags) or 'none'}.json"
+        path.write_text(json.dumps(file), encoding="utf-8")
+        other = packing.ByteLevelIds(str(path))
+        for t in [*texts, f"a{e}>b {e}> {e}"]:
+            assert np.frombuffer(other.encode(t), "<u4").tolist() == library_ids(t, str(path)), (flags, t)
