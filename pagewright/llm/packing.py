@@ -76,7 +76,10 @@ class ByteLevelIds:
         return array("I", self._library.encode(text, add_special_tokens=False).ids).tobytes()
 
     def ordinary(self, text: str) -> bytes:
-        return self.encoding.encode_to_numpy(text, disallowed_special=()).tobytes()
+        try:
+            return self.encoding.encode_to_numpy(text, disallowed_special=()).tobytes()
+        except ValueError:  # about a million white-space characters in a row are beyond its regex
+            return self.library(text)
 
     def encode(self, text: str) -> bytes:
         if not self.plain:

@@ -532,3 +532,9 @@ def test_added_tokens_of_the_file(spark, tmp_path):
         other = packing.ByteLevelIds(str(path))
         for t in [*texts, f"a{e}>b {e}> {e}"]:
             assert np.frombuffer(other.encode(t), "<u4").tolist() == library_ids(t, str(path)), (flags, t)
+
+
+def test_long_runs_of_white_space():
+    enc = packing.ByteLevelIds(packing.tokenizer_file())
+    for t in ("a" + " " * 1_200_000 + "b", "a" + "\n" * 1_100_000, "x <|endoftext|>" + "\t " * 600_000 + "<|endoftext|> y"):
+        assert np.frombuffer(enc.encode(t), "<u4").tolist() == library_ids(t)
