@@ -116,12 +116,6 @@ TOKENS = re.compile(
     re.IGNORECASE,
 )
 GLYPHS = _homoglyphs()
-#: One cheap look at a text before the transducers: brackets or words of a disguise, odd characters, number words.
-FOREIGN = re.compile("[^\x00-ſ‘-‟…€]")
-HINT = re.compile(rf"[{INVISIBLE}]|[\[({{<]\s{{0,3}}(?:at|ät|arobase|arroba|dot|punkt|point|punto|[@.])|\s@\s|\sdot\s", re.IGNORECASE)
-THREE = re.compile(rf"(?<![^\W_])(?:(?:{'|'.join(sorted(DIGIT_WORDS, key=len, reverse=True))})[\s,.()+-]{{1,3}}){{2}}(?:{'|'.join(sorted(DIGIT_WORDS, key=len, reverse=True))})(?![^\W_])", re.IGNORECASE)
-#: What may surround a word, as spaces.
-_EDGES = {c: " " for c in [*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F), *range(0xA0, 0xC0), *range(0x2000, 0x2070), *range(0x3000, 0x3040)]}
 JOINS = re.compile(r"[\s,.()+\-0-9]{0,24}")
 DROPPED = re.compile(r"[\s,-]{0,3}")
 
@@ -180,20 +174,8 @@ def normalise(text: str) -> Normalised:
     return out
 
 
-def disguised(text: str) -> bool:
-    """Whether the transducers could find anything: each regex runs only where its cheap precondition holds."""
-    if not text.isascii() and FOREIGN.search(text):
-        return True
-    low = text.lower()
-    if any(x in low for x in ("[", "(", "{", "<", "@", "dot", "\xad")) and HINT.search(text):
-        return True
-    return sum(map(DIGIT_WORDS.__contains__, low.translate(_EDGES).split())) >= 3 and bool(THREE.search(text))
-
-
 def added_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Spans that only the normalised text shows."""
-    if not disguised(text):
-        return []
     norm = normalise(text)
     whole = "".join(norm.parts)
     if whole == text:

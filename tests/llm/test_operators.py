@@ -242,6 +242,30 @@ def test_disguises(text, kind, part):
     assert base == plain_spans(text)
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "part"),
+    [
+        ("pay 4539\u00a05787\u00a06362\u00a01486 now", "card", "4539\u00a05787\u00a06362\u00a01486"),
+        ("call +49\u00a030\u00a01234567 now", "phone", "+49\u00a030\u00a01234567"),
+        ("mail j\u0131m@example.com now", "email", "j\u0131m@example.com"),
+        ("call plus 49 30 1234567 now", "phone", "plus 49 30 1234567"),
+        ("pay four 5 three 9 five 7 eight 7 six 3 six 2 one 4 eight 6 now", "card", "four 5 three 9 five 7 eight 7 six 3 six 2 one 4 eight 6"),
+    ],
+)
+def test_disguises_that_stand_alone(text, kind, part):
+    assert (kind, text.index(part), text.index(part) + len(part)) in pii.added_spans(text, pii.base_spans(text))
+
+
+def test_disguises_do_not_depend_on_each_other():
+    rng = random.Random(3)
+    bits = ["4539", "5787", "6362", "1486", "\u00a0", " ", "-", "+49", "plus", "30", "1234567", "one", "Two", "drei", "cinq", "5", "j\u0131m", "@", "at", "example", ".", "dot", "com", "\uff11", "\u200b", "(at)", "word", ",", "<"]
+    for _ in range(5000):
+        t = "".join(rng.choice(bits) + rng.choice(["", " ", " ", "\u00a0"]) for _ in range(rng.randint(1, 30)))
+        alone = pii.added_spans(t, pii.base_spans(t))
+        beside = t + "#\u200b"  # a plain disguise behind it
+        assert alone == pii.added_spans(beside, pii.base_spans(beside)), t
+
+
 @pytest.mark.parametrize("text", ["", "look at the one two house", "meet me at example.com", "un deux trois quatre", "Die drei vier fünf sechs Leute", "x@y", "1.2.3", "a (at) b"])
 def test_clean_texts_stay_clean(text):
     assert pii.added_spans(text, pii.base_spans(text)) == []
