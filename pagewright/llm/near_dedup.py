@@ -11,7 +11,9 @@ members that the representative already joins cost one comparison.
 A pair at similarity 0.75 meets in a bucket with probability 0.99998 (40 bands of 5 minima).
 
 Defined results: a text without words, empty or null, has no shingles and links with nothing; rows with one doc_id
-are one node; a null doc_id is a node of its own that shows null; an empty table gives an empty result.
+and one text are one node, so different texts under one doc_id, or under none, are linked and kept each for itself.
+A component shows its least doc_id, null only if none of its rows has one; of nodes under that doc_id the one with the
+least text hash is kept. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,7 +36,6 @@ LEAST_ESTIMATE = 0.6
 BLOCK = 1024
 #: Up to so many ids, the documents to verify are picked by a broadcast list, beyond that by a shuffle.
 BROADCAST_IDS = 1_000_000
-NULL_ID = -(2**63)
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -273,9 +274,11 @@ class NearDuplicates:
     def full_sets(self, ids: DataFrame) -> DataFrame:
         """id and xs of the ids, a written table."""
         wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-        texts = self.docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), "th", "text").join(wanted, "id", "left_semi")
-        if self.doubled:  # an id with several texts: the class table chose one
-            texts = texts.join(self.picks, ["id", "th"], "left_semi").dropDuplicates(["id"])
+        if self.doubled:  # the rows that stand for classes
+            picks = self.picks.join(wanted, "id", "left_semi")
+            texts = self.docs.join(picks, F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("th") == F.col("t2"))).select("id", "text").dropDuplicates(["id"])
+        else:
+            texts = self.docs.withColumnRenamed("doc_id", "id").join(wanted, "id", "left_semi")
         return self.scratch.table(add_sets(texts), "sets")
 
     def verify(self, pairs: DataFrame, name: str) -> DataFrame:
@@ -292,13 +295,17 @@ class NearDuplicates:
     def run(self) -> DataFrame:
         s, scratch = self.scratch, self.scratch
         sigs = s.table(add_signatures(self.docs), "signatures")
-        node = F.coalesce("doc_id", F.lit(NULL_ID))
-        classes = s.table(sigs.where("n > 0").groupBy("dg").agg(F.min(F.struct(node.alias("id"), F.col("th"))).alias("x"), F.count("*").alias("copies")).select("dg", "x.id", "x.th", "copies"), "classes")
-        n_classes, n_ids = classes.agg(F.count("*"), F.count_distinct("id")).first()
-        self.doubled = n_classes != n_ids or self.docs.select(F.count("*") != F.count_distinct(node)).first()[0]
-        self.picks = classes.select("id", "th")
-        heads = sigs.withColumn("id", node).join(classes.select("id", "th", "dg"), ["id", "th", "dg"]).select("id", "n", "sig", "keys")
-        heads = s.table(heads.dropDuplicates(["id"]) if self.doubled else heads, "heads")
+        node = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "th")  # the least has a doc_id where any has
+        classes = s.table(sigs.where("n > 0").groupBy("dg").agg(F.min(node).alias("x"), F.count("*").alias("copies")).select("dg", F.col("x.doc_id").alias("id"), "x.th", "copies"), "classes")
+        self.doubled = self.docs.select(F.count("*") != F.count_distinct("doc_id")).first()[0]
+        if self.doubled:  # a doc_id may be null or stand for several classes: they get numbers of their own
+            classes = s.table(classes.withColumnRenamed("id", "doc_id").withColumn("id", F.monotonically_increasing_id()), "numbered-classes")
+            self.picks = classes.select("id", F.col("doc_id").alias("d2"), F.col("th").alias("t2"))
+            same = F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("th") == F.col("t2"))
+            heads = sigs.where("n > 0").join(self.picks, same).select("id", "n", "sig", "keys").dropDuplicates(["id"])
+        else:
+            heads = sigs.withColumnRenamed("doc_id", "id").join(classes.select("id", "th", "dg"), ["id", "th", "dg"]).select("id", "n", "sig", "keys")
+        heads = s.table(heads, "heads")
         members = s.table(heads.select("id", "n", F.posexplode("keys").alias("band", "key")), "members")
         # one representative for each bucket of several classes
         stars = s.table(members.groupBy("key").agg(F.min(F.struct(F.xxhash64("id").alias("o"), F.col("id"), F.col("n"))).alias("r"), F.count("*").alias("m")).where("m > 1").select("key", "m", F.col("r.id").alias("rep"), F.col("r.n").alias("rn")), "stars")
@@ -323,10 +330,17 @@ class NearDuplicates:
             rows = still.join(with_comp, ["key", "id"]).withColumn("mine", F.pmod(F.xxhash64("id"), blocks).cast("int")).join(by_sig, "id").join(sets, "id")
             found = s.table(_block_links(grouped(rows.select("key", "i", "j", "band", "mine", "id", "n", "comp", "sig", "xs")), BANDS).distinct(), "block-links")
             comps = connected_components(links.union(found), scratch)
-        named = s.table(classes.join(comps.select(F.col("u").alias("id"), F.col("v").alias("c")), "id", "left").select(F.col("dg").alias("d2"), F.coalesce("c", "id").alias("comp")), "named")
+        joined = classes.join(comps.select(F.col("u").alias("id"), F.col("v").alias("c")), "id", "left").withColumn("comp", F.coalesce("c", "id"))
+        if self.doubled:
+            least = joined.groupBy("comp").agg(F.min(node).alias("r"))
+            joined = joined.select("dg", "comp").join(least, "comp").select("dg", F.col("r.doc_id").alias("comp"), F.col("r.th").alias("ct"))
+        else:  # a doc_id tells its text
+            joined = joined.select("dg", "comp", F.lit(None).cast("long").alias("ct"))
+        named = s.table(joined.withColumnRenamed("dg", "d2"), "named")
         out = sigs.select("doc_id", "th", "n", "dg").join(named, F.col("dg") == F.col("d2"), "left")
-        comp = F.coalesce("comp", node)
-        out = out.select("doc_id", "th", F.col("n").alias("n_shingles"), F.when(comp != NULL_ID, comp).alias("component_id"), (comp == node).alias("kept"))
+        comp = F.when(F.col("d2").isNull(), F.col("doc_id")).otherwise(F.col("comp"))
+        kept = F.col("d2").isNull() | (F.col("doc_id").eqNullSafe(F.col("comp")) & F.coalesce(F.col("th") == F.col("ct"), F.lit(True)))
+        out = out.select("doc_id", "th", F.col("n").alias("n_shingles"), comp.alias("component_id"), kept.alias("kept"))
         s.drop(heads, members, stars, with_comp, open_keys)
         return out
 
@@ -338,11 +352,11 @@ def near_duplicates(df: DataFrame) -> DataFrame:
 
 def one_of_each_group(df: DataFrame) -> DataFrame:
     """df with one document of each group; of repeated rows of that document, one."""
-    kept = near_duplicates(df).where("kept").groupBy(F.col("doc_id").alias("__d")).agg(F.min("th").alias("__t"), F.count("*").alias("__n"))
+    kept = near_duplicates(df).where("kept").groupBy(F.col("doc_id").alias("__d"), F.col("th").alias("__t")).agg(F.count("*").alias("__n"))
     kept = Scratch(df.sparkSession, "near-dedup-kept").table(kept, "kept")
     marked = df.withColumn("__x", F.xxhash64("text"))
-    out = marked.join(kept.select("__d", "__t"), F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__x") == F.col("__t")), "left_semi").drop("__x")
-    return out.dropDuplicates(["doc_id"]) if kept.where("__n > 1").limit(1).count() else out
+    out = marked.join(kept.select("__d", "__t"), F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__x") == F.col("__t")), "left_semi")
+    return (out.dropDuplicates(["doc_id", "__x"]) if kept.where("__n > 1").limit(1).count() else out).drop("__x")
 
 
 def op1_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -89,6 +89,22 @@ def test_one_of_each_group_and_empty_table(docs, corpus, none):
     assert near_dedup.near_duplicates(none).count() == 0
 
 
+def test_several_texts_under_one_id_or_none(spark, words):
+    rng = random.Random(9)
+    a, b, c, d, e = (" ".join(rng.choice(words) for _ in range(60)) for _ in range(5))
+    near = lambda t: t + " " + words[0]
+    data = [(None, a), (None, b), (None, near(b)), (None, e), (None, e), (None, ""), (7, a), (5, c), (5, d), (3, near(c)), (9, near(d)), (5, d.upper()), (5, d)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    text = {r["th"]: r["text"] for r in rows(df.selectExpr("text", "xxhash64(text) AS th"))}
+    got = {(r["doc_id"], text[r["th"]]): r for r in rows(near_dedup.near_duplicates(df))}
+    want = {(None, a): 7, (7, a): 7, (None, b): None, (None, near(b)): None, (None, e): None, (None, ""): None, (5, c): 3, (3, near(c)): 3, (5, d): 5, (5, d.upper()): 5, (9, near(d)): 5}
+    assert {k: r["component_id"] for k, r in got.items()} == want
+    assert got[7, a]["kept"] and got[3, near(c)]["kept"] and got[None, e]["kept"] and got[None, ""]["kept"]
+    assert got[None, b]["kept"] != got[None, near(b)]["kept"] and got[5, d]["kept"] != got[5, d.upper()]["kept"]
+    left = Counter((r["doc_id"], r["text"]) for r in rows(near_dedup.one_of_each_group(df)))
+    assert left == Counter(k for k, r in got.items() if r["kept"]) and sum(left.values()) == 6
+
+
 # -- media ----------------------------------------------------------------------------------------------------
 
 
