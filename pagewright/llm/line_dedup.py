@@ -5,9 +5,13 @@ whose estimate lies clearly under the threshold stay, lines clearly above it are
 `margin` of it get an exact count of distinct sites. Of a boilerplate line the first occurrence stays (smallest
 doc_id, then position), so that its text is kept once in the corpus; all others are removed.
 
+One plan serves all sizes: the texts are shuffled once, by (doc_id, hash of the text), to meet what they lose.
+
 Defined results: a line is what stands between line feeds; blank lines are never removed; a null text has no lines
-and stays null; a null source is a site of its own; an empty table gives an empty result. A text that loses no line
-comes back as it was.
+and stays null, an empty one stays empty; a null source is a site of its own, a null doc_id sorts first. Rows that
+repeat both doc_id and text are one document, so they all come back alike; of different texts under one doc_id the
+one with the least hash comes first. Very long texts are rows of lines like others. Columns of any name pass through
+unchanged. An empty table gives an empty result. A text that loses no line comes back as it was.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import Scratch, documents
+from pagewright.llm.common import Scratch, documents, packed, unpacked
 
 TRIM = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
 MIN_SITES = 10
@@ -49,38 +53,48 @@ def removals(df: DataFrame, min_sites: int = MIN_SITES, margin: float = 0.25) ->
     scratch = Scratch(df.sparkSession, "line-dedup")
     lines = scratch.table(lines_of(df), "lines")
     found = boilerplate(lines, min_sites, margin, scratch)
-    hit = lines.join(found, "h").where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th")) & (F.col("pos") == F.col("first.pos"))))
-    return scratch.table(hit.groupBy(F.col("doc_id").alias("__d"), F.col("th").alias("__t")).agg(F.collect_set("pos").alias("__gone")), "gone")
+    first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th")) & (F.col("pos") == F.col("first.pos"))
+    hit = lines.join(found, "h").where(~first)
+    out = scratch.table(hit.groupBy("doc_id", "th").agg(F.collect_set("pos").alias("gone")), "gone")
+    scratch.drop(lines, found)
+    return out
+
+
+def _marked(df: DataFrame, **options) -> DataFrame:
+    """row, gone (positions, null for none) and left (the text without them)."""
+    gone = removals(df, **options).withColumnsRenamed({"doc_id": "d2", "th": "t2"}).hint("shuffle_hash")
+    same = F.col("d").eqNullSafe(F.col("d2")) & (F.col("t") == F.col("t2"))
+    j = packed(df, d=F.col("doc_id"), t=F.xxhash64("text")).join(gone, same, "left")
+    text = F.col("row.text")
+    left = F.array_join(F.filter(F.split(text.cast("string"), "\n", -1), lambda x, i: ~F.array_contains("gone", i)), "\n")
+    return j.select("row", "gone", F.when(F.col("gone").isNull(), text).otherwise(left).alias("left"))
 
 
-def dedup_lines(df: DataFrame, min_sites: int = MIN_SITES, margin: float = 0.25) -> DataFrame:
-    """df with its text less the boilerplate lines, and __removed, how many they were."""
-    gone = removals(df, min_sites, margin)
-    j = df.withColumn("__x", F.xxhash64("text")).join(gone, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__x") == F.col("__t")), "left")
-    lines = F.split(F.col("text").cast("string"), "\n", -1)
-    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("__gone", i)), "\n")
-    return j.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(left)).withColumn("__removed", F.coalesce(F.size("__gone"), F.lit(0))).drop("__x", "__d", "__t", "__gone")
+def dedup_lines(df: DataFrame, removed: str = "n_removed", **options) -> DataFrame:
+    """df with its text less the boilerplate lines, and a column `removed`, how many they were (in place of one of that name)."""
+    return _marked(df, **options).select(*unpacked([c for c in df.columns if c != removed], text=F.col("left")), F.coalesce(F.size("gone"), F.lit(0)).alias(removed))
 
 
 def without_emptied(df: DataFrame, **options) -> DataFrame:
     """The documents after line dedup; those that lost lines and have no word left go, as all they held stands elsewhere."""
-    out = dedup_lines(df, **options)
-    return out.where((F.col("__removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*df.columns)
+    out = _marked(df, **options)
+    return out.where(F.col("gone").isNull() | F.col("left").rlike(r"[^\x20\x09-\x0D]")).select(*unpacked(df.columns, text=F.col("left")))
 
 
 def op6_line_dedup(spark, sf_dir: str) -> DataFrame:
     d = dedup_lines(documents(spark, sf_dir))
-    return d.select("doc_id", F.col("__removed").cast("long").alias("n_removed"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("kept_md5"))
+    return d.select("doc_id", F.col("n_removed").cast("long").alias("n_removed"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("kept_md5"))
 
 
 OP6_SQL = r"""
 WITH lines AS (
-  SELECT doc_id, coalesce('s' || source, 'n') AS site, pos, line,
+  SELECT doc_id, text, coalesce('s' || source, 'n') AS site, pos, line,
          regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS k
-  FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents)),
+  FROM (SELECT doc_id, text, source, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents)),
 boiler AS (SELECT k FROM lines WHERE k <> '' GROUP BY k HAVING count(DISTINCT site) >= 10),
-ranked AS (SELECT l.*, b.k IS NOT NULL AND row_number() OVER (PARTITION BY l.k ORDER BY l.doc_id, l.pos) > 1 AS gone FROM lines l LEFT JOIN boiler b ON l.k = b.k),
-kept AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS t FROM ranked GROUP BY doc_id)
+once AS (SELECT DISTINCT doc_id, text, pos, line, k FROM lines),
+ranked AS (SELECT l.*, b.k IS NOT NULL AND row_number() OVER (PARTITION BY l.k ORDER BY l.doc_id, l.text, l.pos) > 1 AS gone FROM once l LEFT JOIN boiler b ON l.k = b.k),
+kept AS (SELECT doc_id, text, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS t FROM ranked GROUP BY doc_id, text)
 SELECT d.doc_id, coalesce(n_removed, 0)::BIGINT AS n_removed, strlen(coalesce(t, ''))::BIGINT AS n_bytes, md5(coalesce(t, '')) AS kept_md5
-FROM documents d LEFT JOIN kept USING (doc_id)
+FROM documents d LEFT JOIN kept ON kept.doc_id IS NOT DISTINCT FROM d.doc_id AND kept.text = d.text
 """

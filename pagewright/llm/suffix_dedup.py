@@ -3,25 +3,29 @@
 A byte goes if it is covered by a 50-byte string that also starts in a document with a smaller doc_id. A global
 suffix array over all bytes moves every position several times; so positions are cut down exactly first:
 
-1. Every 50-byte window has an anchor, the least 16-gram hash in it (a minimizer). Equal windows have equal anchors at
-   equal offsets. Anchors are counted; only those of two or more documents can matter.
-2. Around each such anchor lies a segment: the windows that it owns. Equal segments of an anchor are one variant
+1. Texts equal as a whole are found by a 128-bit digest. All but the one of the least doc_id go whole.
+2. The others are put, a megabyte or so together, in compressed blocks. Every 50-byte window has an anchor, the least
+   20-gram hash in it (a minimizer); equal windows have equal anchors at equal offsets. A block sends each range of hash
+   values its own, sorted, shortened and as differences; the range answers which of them occur in two or more texts.
+   Only those are hot, that is, can matter.
+3. Around each hot anchor lies a segment: the windows that it owns. Equal segments of an anchor are one variant
    with its least doc_id (an aggregation, so a passage of very many documents is one row).
-3. Anchors with several variants go through the difference-cover suffix sort: a task takes the variants of its
-   anchors, sorts sampled triples, recurses on names, merges the remaining suffixes, and compares the 50-byte prefixes
-   of adjacent window starts. Each run of equal prefixes gets its least doc_id. Variants of one anchor beyond
-   `GROUP_BYTES` are sorted window offset by window offset, which bounds memory.
-4. Occurrences look up the least doc_id of each of their windows; windows with a smaller one than their own document
-   are covered spans, merged for each document and cut from its text.
+4. Anchors with several variants go through the difference-cover suffix sort: a task takes the variants of whole
+   anchors, a few megabytes at a time, sorts sampled triples, recurses on names, merges the remaining suffixes, and
+   compares the 50-byte prefixes of adjacent window starts. Each run of equal prefixes gets its least doc_id. An anchor
+   of more than `MANY` variants (a ruler, a stock phrase) is first split into its windows, whose least doc_id is an
+   aggregation by (anchor, window); so no task holds more than a bounded group.
+5. Occurrences look up the least doc_id of each of their windows; windows with a smaller one than their own document
+   are covered spans, merged for each document and cut from its text in its block.
 
 Defined results: null and short texts (under 50 bytes) lose nothing; a null doc_id counts as smaller than all others;
-rows that share a doc_id never remove from each other; an empty table gives an empty result.
+rows that share a doc_id never remove from each other, so repeated rows all come back alike; very long texts are blocks
+of their own; other columns, whatever their names, are not looked at; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import gc
-import time
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,32 +38,36 @@ from pagewright.llm.common import Scratch, documents
 from pagewright.llm.suffix_array import suffix_array
 
 SPAN = 50
-GRAM = 16
-OWNERS = SPAN - GRAM + 1  # 16-grams of a window
+GRAM = 20
+OWNERS = SPAN - GRAM + 1  # grams of a window
 GROUP_BYTES = 4_000_000
+#: Variants of one anchor that a task sorts together at most.
+MANY = 4096
+BLOCK_BYTES = 1 << 20
+#: Hash values that one range holds, about.
+RANGE_VALUES = 4_000_000
 NULL_ID = -(2**63)
-M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
 def gram_hashes(x: np.ndarray) -> np.ndarray:
-    """Mixed hashes of all 16-grams of bytes, by doubling."""
-    h, w, m = x.astype(np.uint64), 1, 0x9E3779B97F4A7C15
-    while w < GRAM:
+    """Mixed hashes of all 20-grams of bytes: 16-grams by doubling, and the four bytes after."""
+    h, w, m, four = x.astype(np.uint64), 1, 0x9E3779B97F4A7C15, None
+    while w < 16:
         h = h[:-w] * np.uint64(m) + h[w:]
         h ^= h >> np.uint64(32)
         m = (m * 0xD6E8FEB86659FD93 | 1) & 0xFFFFFFFFFFFFFFFF
         w *= 2
-    h = h * M2
+        four = h if w == GRAM - 16 else four
+    h = h[: len(x) - GRAM + 1] * np.uint64(m) + four[16:]
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(29)
     return h
 
 
-def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """hash, position, first and last owned window start of each anchor; a window belongs to its leftmost least 16-gram."""
-    x = np.frombuffer(data, np.uint8)
-    if len(x) < SPAN:
-        e = np.empty(0, np.int64)
-        return e.view(np.uint64), e, e, e
+def anchors(x: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Anchors of texts that stand one after another in x and end at `ends`, each of SPAN bytes or more: hash, position,
+    first and last owned window start, and text. A window belongs to its leftmost least gram."""
     h = gram_hashes(x)
     s, w = h, 1
     while 2 * w <= OWNERS:
@@ -68,8 +76,14 @@ def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     if OWNERS > w:
         s = np.minimum(s[: len(s) - (OWNERS - w)], s[OWNERS - w :])
     # s[i]: the least hash of window i. The window's anchor changes where that hash does, or where it falls off the left end.
-    starts = np.flatnonzero(np.concatenate([[True], (s[1:] != s[:-1]) | (h[: len(s) - 1] == s[:-1])]))
-    ends = np.append(starts[1:], len(s)) - 1
+    new = np.ones(len(s), bool)
+    new[1:] = (s[1:] != s[:-1]) | (h[: len(s) - 1] == s[:-1])
+    new[ends[:-1]] = True
+    across = (ends[:-1, None] - (SPAN - 1) + np.arange(SPAN - 1)).ravel()  # windows that lie in two texts
+    new[across] = False
+    starts = np.flatnonzero(new)
+    of = np.searchsorted(ends, starts, side="right")
+    last = np.minimum(np.append(starts[1:], len(x)) - 1, ends[of] - SPAN)
     want = s[starts]
     p = np.full(len(starts), -1)
     miss = np.arange(len(starts))
@@ -79,50 +93,143 @@ def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
         miss = miss[~hit]
         if not len(miss):
             break
-    return want, p, starts, ends
+    return want, p, starts, last, of
 
 
-def _bytes(t: pa.Scalar) -> bytes:
-    return (t.as_py() or "").encode("utf-8", "surrogatepass")
+def _pack(values: np.ndarray, base: int) -> bytes:
+    """Sorted values from base on, as differences of equal width; the first byte is the width."""
+    d = np.diff(values, prepend=np.uint64(base))
+    width = max(1, (int(d.max()).bit_length() + 7) // 8)
+    return bytes([width]) + d.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
-def anchor_rows(df: DataFrame) -> DataFrame:
-    """doc, th and hs, the distinct anchor hashes of each text, of df(doc, th, text)."""
+def _unpack(data: bytes, base: int) -> np.ndarray:
+    width = data[0]
+    d = np.zeros(((len(data) - 1) // width, 8), np.uint8)
+    d[:, :width] = np.frombuffer(data, np.uint8, offset=1).reshape(-1, width)
+    return np.cumsum(d.view("<u8").ravel(), dtype=np.uint64) + np.uint64(base)
+
+
+class Hashes:
+    """How anchors are shortened and dealt to ranges: `bits` of a hash are told apart, its first `range_bits` are its range."""
+
+    def __init__(self, n_bytes: int, least_ranges: int):
+        n = max(1, n_bytes // 16)
+        self.range_bits = max(0, math.ceil(math.log2(max(least_ranges, n / RANGE_VALUES))))
+        # one unhot anchor in a few hundred meets another's shortened hash, which costs some work and changes nothing
+        self.bits = min(62, max(self.range_bits + 8, math.ceil(math.log2(n)) + 8))
+
+    def short(self, h: np.ndarray) -> np.ndarray:
+        return h >> np.uint64(64 - self.bits)
+
+    def base(self, r: int) -> int:
+        return r << (self.bits - self.range_bits)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo in range(0, b.num_rows, 1024):
-                part = b.slice(lo, 1024)
-                hs = [np.unique(anchors(_bytes(t))[0]).view(np.int64) for t in part.column(2)]
-                ends = np.cumsum([0, *map(len, hs)], dtype=np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(hs)))], names=["doc", "th", "hs"])
 
-    return df.select("doc", "th", "text").mapInArrow(run, "doc long, th long, hs array<long>")
+def _block(docs: list[int], digests: list[bytes], texts: list[bytes], number: int, hashes: Hashes) -> dict:
+    import zstandard
 
+    ends = np.cumsum([len(t) for t in texts])
+    joined = b"".join(texts)
+    h, _, _, _, of = anchors(np.frombuffer(joined, np.uint8), ends)
+    t = hashes.short(h)
+    order = np.argsort(t, kind="stable")
+    t, of = t[order], of[order]
+    t = t[np.concatenate([[True], (t[1:] != t[:-1]) | (of[1:] != of[:-1])])]  # once for each text
+    t = t[np.concatenate([[True] * min(2, len(t)), t[2:] != t[:-2]])]  # twice says that two texts have it
+    r = t >> np.uint64(hashes.bits - hashes.range_bits)
+    cuts = np.concatenate([[0], np.flatnonzero(r[1:] != r[:-1]) + 1, [len(t)]]).tolist()
+    items = [{"r": int(r[a]), "values": _pack(t[a:z], hashes.base(int(r[a])))} for a, z in zip(cuts, cuts[1:], strict=False)]
+    return {"block": number, "docs": docs, "digests": digests, "ends": ends.tolist(), "texts": zstandard.compress(joined, 3), "items": items}
 
-def segments(df: DataFrame) -> DataFrame:
-    """h, seg, pos, size and back of the hot anchors of df(doc, th, text, hot): the segment's bytes and place, and how
-    far the anchor lies behind its start."""
+
+BLOCK = "block long, docs array<long>, digests array<binary>, ends array<long>, texts binary, items array<struct<r:int,values:binary>>"
+
+
+def blocks(df: DataFrame, hashes: Hashes) -> DataFrame:
+    """Blocks of df(doc, digest, text), whose texts have SPAN bytes or more."""
+    array = pa.list_(pa.int64())
+    schema = pa.schema([("block", pa.int64()), ("docs", array), ("digests", pa.list_(pa.binary())), ("ends", array), ("texts", pa.binary()), ("items", pa.list_(pa.struct([("r", pa.int32()), ("values", pa.binary())])))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 32
+        docs, digests, texts, size = [], [], [], 0
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
-                docs, ths, hs, segs, pos, back = [], [], [], [], [], []
-                for d, th, t, hot in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), part.column(3).to_pylist(), strict=True):
-                    data = _bytes(t)
-                    h, p, first, last = anchors(data)
-                    wanted = np.sort(np.array(hot, np.int64))
-                    keep = np.flatnonzero(np.isin(h.view(np.int64), wanted, kind="sort"))
-                    docs += [d] * len(keep)
-                    ths += [th] * len(keep)
-                    hs.append(h.view(np.int64)[keep])
-                    pos.append(first[keep])
-                    back.append((p - first)[keep])
-                    segs += [data[a : z + SPAN] for a, z in zip(first[keep].tolist(), last[keep].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(ths, pa.int64()), pa.array(np.concatenate(hs)), pa.array(segs, pa.binary()), pa.array(np.concatenate(pos)), pa.array(np.concatenate(back))], names=["doc", "th", "h", "seg", "pos", "back"])
-
-    return df.select("doc", "th", "text", "hot").mapInArrow(run, "doc long, th long, h long, seg binary, pos long, back long")
+            for d, g, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                docs.append(d)
+                digests.append(g)
+                texts.append(t.as_py().encode("utf-8", "surrogatepass"))
+                size += len(texts[-1])
+                if size >= BLOCK_BYTES:
+                    yield pa.RecordBatch.from_pylist([_block(docs, digests, texts, number, hashes)], schema)
+                    number, docs, digests, texts, size = number + 1, [], [], [], 0
+        if docs:
+            yield pa.RecordBatch.from_pylist([_block(docs, digests, texts, number, hashes)], schema)
+
+    return df.select("doc", "digest", "text").mapInArrow(run, BLOCK)
+
+
+def hot_values(items: DataFrame, hashes: Hashes) -> DataFrame:
+    """block, r and values: of what each block sent to a range, those that two or more texts have. items: block, r, values."""
+
+    def run(t: pa.Table) -> pa.Table:
+        r = t.column("r")[0].as_py()
+        base = hashes.base(r)
+        parts = [_unpack(v.as_py(), base) for v in t.column("values")]
+        of = np.repeat(np.arange(len(parts), dtype=np.int32), [len(p) for p in parts])
+        v = np.concatenate(parts)
+        order = np.argsort(v, kind="stable")
+        s = v[order]
+        same = s[1:] == s[:-1]
+        hot = np.zeros(len(v), bool)
+        hot[order[1:][same]] = True
+        hot[order[:-1][same]] = True
+        at = np.flatnonzero(hot)
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(of[at])) + 1, [len(at)]]).tolist() if len(at) else [0]
+        block = t.column("block").to_pylist()
+        out = [(block[of[at[a]]], r, _pack(np.unique(v[at[a:z]]), base)) for a, z in zip(cuts, cuts[1:], strict=False)]
+        return pa.table([pa.array([x[k] for x in out], ty) for k, ty in enumerate((pa.int64(), pa.int32(), pa.binary()))], names=["block", "r", "values"])
+
+    return items.select("block", "r", "values").groupBy("r").applyInArrow(run, "block long, r int, values binary")
+
+
+def _texts(packed: bytes, ends: list[int]) -> tuple[bytes, np.ndarray]:
+    import zstandard
+
+    return zstandard.decompress(packed), np.array(ends, np.int64)
+
+
+def _slices(x: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
+    """The stretches of x as binary values."""
+    ends = np.cumsum(size)
+    at = np.repeat(start - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
+    offsets = np.concatenate([[0], ends]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(x[at]))])
+
+
+def segments(df: DataFrame, hashes: Hashes) -> DataFrame:
+    """h, seg, back, doc, block, i and pos of the hot anchors of df(block, docs, ends, texts, hot): the segment's bytes, how
+    far the anchor lies behind its start, and where it stands, that is in text i of the block at pos."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in range(b.num_rows):
+                data, ends = _texts(b.column(3)[row].as_py(), b.column(2)[row].as_py())
+                x = np.frombuffer(data, np.uint8)
+                h, p, first, last, of = anchors(x, ends)
+                hot = np.sort(np.concatenate([_unpack(v["values"], hashes.base(v["r"])) for v in b.column(4)[row].as_py()]))
+                t = hashes.short(h)
+                keep = np.flatnonzero(hot[np.minimum(np.searchsorted(hot, t), len(hot) - 1)] == t)
+                h, p, first, last, of = (c[keep] for c in (h, p, first, last, of))
+                docs = np.array(b.column(1)[row].as_py(), np.int64)
+                begin = np.concatenate([[0], ends[:-1]])
+                cols = [pa.array(h.view(np.int64)), _slices(x, first, last - first + SPAN), pa.array((p - first).astype(np.int32)), pa.array(docs[of])]
+                cols += [pa.array(np.full(len(of), b.column(0)[row].as_py())), pa.array(of.astype(np.int32)), pa.array(first - begin[of])]
+                yield pa.RecordBatch.from_arrays(cols, names=["h", "seg", "back", "doc", "block", "i", "pos"])
+
+    return df.select("block", "docs", "ends", "texts", "hot").mapInArrow(run, "h long, seg binary, back int, doc long, block long, i int, pos long")
 
 
 def least_docs(text: np.ndarray, begin: np.ndarray, size: np.ndarray, docs: np.ndarray) -> np.ndarray:
@@ -146,48 +253,14 @@ def least_docs(text: np.ndarray, begin: np.ndarray, size: np.ndarray, docs: np.n
     return out
 
 
-def _by_offset(text: np.ndarray, begin: np.ndarray, size: np.ndarray, docs: np.ndarray, backs: np.ndarray) -> np.ndarray:
-    """The same for very many variants of one anchor: equal windows lie at equal offsets from it, so one offset at a time."""
-    out = np.zeros(len(text), np.int64)
-    for k in range(OWNERS):
-        at = backs - k
-        has = np.flatnonzero((at >= 0) & (at <= size - SPAN))
-        if not len(has):
-            continue
-        start = begin[has] + at[has]
-        w = np.ascontiguousarray(text[start[:, None] + np.arange(SPAN)]).view(f"V{SPAN}").ravel()
-        _, inverse = np.unique(w, return_inverse=True)
-        order = np.argsort(inverse, kind="stable")
-        heads = np.flatnonzero(np.concatenate([[True], inverse[order][1:] != inverse[order][:-1]]))
-        out[start[order]] = np.repeat(np.minimum.reduceat(docs[has][order], heads), np.diff(np.append(heads, len(has))))
-    return out
-
-
-def _solve(t: pa.Table) -> Iterator[pa.RecordBatch]:
-    """h, sid and runs of whole anchors (h, sid, back, doc, seg). An anchor beyond twice GROUP_BYTES goes alone."""
-    t = t.combine_chunks()
-    h, size = t.column(0).to_numpy(), pc.binary_length(t.column(4)).to_numpy()
-    heads = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    large = np.flatnonzero(np.add.reduceat(size, heads) > 2 * GROUP_BYTES)
-    if len(heads) > 1 and len(large):
-        ends = np.append(heads[1:], len(h))
-        cuts = sorted({0, len(h), *heads[large].tolist(), *ends[large].tolist()})
-        for lo, hi in zip(cuts, cuts[1:], strict=False):
-            yield _solve_rows(t.slice(lo, hi - lo).combine_chunks(), lo in set(heads[large].tolist()))
-    else:
-        yield _solve_rows(t, len(heads) == 1 and len(large) > 0)
-
-
-def _solve_rows(t: pa.Table, by_offset: bool) -> pa.RecordBatch:
-    seg = t.column(4).chunk(0)
+def _solve_rows(t: pa.Table) -> pa.RecordBatch:
+    """h, sid and runs of whole anchors (h, sid, doc, seg)."""
+    seg = t.column(3).chunk(0)
     offsets = np.frombuffer(seg.buffers()[1], np.int32)[seg.offset : seg.offset + len(seg) + 1].astype(np.int64)
     text = np.frombuffer(seg.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
     begin, size = offsets[:-1] - offsets[0], np.diff(offsets)
-    docs = t.column(3).to_numpy()
-    if by_offset:
-        found = _by_offset(text, begin, size, docs, t.column(2).to_numpy())
-    else:
-        found = least_docs(text, begin, size, docs)
+    docs = t.column(2).to_numpy()
+    found = least_docs(text, begin, size, docs)
     windows = size - SPAN + 1
     first = np.cumsum(windows) - windows
     of = np.repeat(np.arange(len(begin)), windows)
@@ -201,9 +274,9 @@ def _solve_rows(t: pa.Table, by_offset: bool) -> pa.RecordBatch:
 
 
 def window_docs(variants: DataFrame) -> DataFrame:
-    """h, sid and runs (lo, hi, doc: windows lo to hi were first seen in doc) of variants(h, sid, back, doc, seg), sorted by h.
+    """h, sid and runs (lo, hi, doc: windows lo to hi were first seen in doc) of variants(h, sid, doc, seg), sorted by h.
 
-    A sort takes whole anchors of about GROUP_BYTES together; one anchor beyond twice that goes offset by offset.
+    A sort takes whole anchors of about GROUP_BYTES together.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,106 +289,114 @@ def window_docs(variants: DataFrame) -> DataFrame:
             cuts = np.flatnonzero(h[1:] != h[:-1]) + 1
             if held and h[0] != held[-1].column(0)[-1].as_py():
                 cuts = np.concatenate([[0], cuts])
-            size = np.cumsum([0, *np.diff(np.frombuffer(b.column(4).buffers()[1], np.int32)[b.column(4).offset : b.column(4).offset + b.num_rows + 1])])
+            size = np.concatenate([[0], np.cumsum(pc.binary_length(b.column(3)).to_numpy(zero_copy_only=False))])
             at = 0
             for c in cuts.tolist():
                 if n + size[c] - size[at] >= GROUP_BYTES:
                     part = [*held, b.slice(at, c - at)] if c > at else held
                     if part:
-                        yield from _solve(pa.Table.from_batches(part))
+                        yield _solve_rows(pa.Table.from_batches(part).combine_chunks())
                     held, n, at = [], 0, c
             held.append(b.slice(at))
             n += int(size[-1] - size[at])
         if held:
-            yield from _solve(pa.Table.from_batches(held))
+            yield _solve_rows(pa.Table.from_batches(held).combine_chunks())
+
+    return variants.select("h", "sid", "doc", "seg").mapInArrow(run, "h long, sid long, runs array<struct<lo:int,hi:int,doc:bigint>>")
 
-    return variants.select("h", "sid", "back", "doc", "seg").mapInArrow(run, "h long, sid long, runs array<struct<lo:int,hi:int,doc:bigint>>")
 
+def by_window(variants: DataFrame, scratch: Scratch) -> DataFrame:
+    """The same of anchors with very many variants: the least doc of each (anchor, window) is an aggregation."""
+    each = variants.select("h", "sid", "doc", "seg", F.explode(F.sequence(F.lit(0), F.octet_length("seg") - SPAN)).alias("k"))
+    each = scratch.table(each.select("h", "sid", "doc", "k", F.expr(f"substring(seg, k + 1, {SPAN})").alias("w")), "windows")
+    least = scratch.table(each.groupBy("h", "w").agg(F.min("doc").alias("d")), "window-docs")
+    run = F.struct(F.col("k").alias("lo"), F.col("k").alias("hi"), F.col("d").alias("doc"))
+    return each.join(least, ["h", "w"]).groupBy("h", "sid").agg(F.collect_list(run).alias("runs"))  # at most a segment's windows
 
-def cut_texts(df: DataFrame) -> DataFrame:
-    """doc, th, n_bytes, n_removed, n_spans, kept_sha256 and kept of df(doc, th, text, spans)."""
+
+def cut_texts(df: DataFrame, with_text: bool) -> DataFrame:
+    """doc, digest, n_removed, n_spans, kept_sha256 and kept (null unless with_text) of df(docs, digests, ends, texts, spans)."""
+    names = ["doc", "digest", "n_removed", "n_spans", "kept_sha256", "kept"]
+    types = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
         for b in batches:
-            for lo in range(0, b.num_rows, 512):
-                part = b.slice(lo, 512)
-                rows = []
-                for t, spans in zip(part.column(2), part.column(3), strict=True):
-                    data = _bytes(t)
-                    n, merged, end = len(data), [], -1
-                    for s in sorted((x["s"], x["e"]) for x in spans.as_py() or ()):
-                        if s[0] <= end:
-                            merged[-1][1] = end = max(end, s[1])
-                        else:
-                            merged.append(list(s))
-                            end = s[1]
-                    kept, at = [], 0
-                    for s, e in merged:
-                        kept.append(data[at:s])
-                        at = e
-                    kept = b"".join([*kept, data[at:]])
-                    rows.append((n, n - len(kept), len(merged), hashlib.sha256(kept).hexdigest(), kept))
-                cols = [pa.array([r[k] for r in rows], ty) for k, ty in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *cols], names=["doc", "th", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-
-    return df.select("doc", "th", "text", "spans").mapInArrow(run, "doc long, th long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-
-
-def _free(spark) -> None:
-    """Lets the shuffle files of finished steps go: frames that are unreachable are cleaned shortly after a collection."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.7)
-
-
-def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """doc, th and spans (s, e) of the covered bytes of docs(doc, th, text); a written table."""
-    spark, s = docs.sparkSession, scratch
-    found = s.table(anchor_rows(docs), "anchors")
-    hot = s.table(found.select(F.explode("hs").alias("h"), "doc").groupBy("h").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("h"), "hot")
-    _free(spark)
-    places = s.table(found.select("doc", "th", F.explode("hs").alias("h")).join(hot, "h", "left_semi"), "places")
-    s.drop(found)
-    _free(spark)
-    hot_of = s.table(places.groupBy("doc", "th").agg(F.collect_list("h").alias("hot")), "hot-of")  # bounded by a document's own anchors
-    s.drop(places, hot)
-    seg = segments(docs.join(hot_of, ["doc", "th"])).withColumn("sid", F.xxhash64("seg", "back"))
+            for row in range(b.num_rows):
+                data, ends = _texts(b.column(3)[row].as_py(), b.column(2)[row].as_py())
+                begin = np.concatenate([[0], ends[:-1]])
+                mark = np.zeros(len(data) + 1, np.int32)
+                spans = b.column(4)[row]
+                if spans.is_valid:
+                    i, s, e = (f.to_numpy() for f in spans.values.flatten())
+                    np.add.at(mark, begin[i] + s, 1)
+                    np.add.at(mark, begin[i] + e, -1)
+                gone = np.cumsum(mark[:-1]) > 0
+                x = np.frombuffer(data, np.uint8)
+                head = gone.copy()
+                head[1:] &= ~gone[:-1]
+                head[begin] = gone[begin]
+                removed, n_spans = np.add.reduceat(gone, begin, dtype=np.int64), np.add.reduceat(head, begin, dtype=np.int64)
+                kept = [x[a:z][~gone[a:z]].tobytes() if n else data[a:z] for a, z, n in zip(begin.tolist(), ends.tolist(), removed.tolist(), strict=True)]
+                cols = [b.column(0)[row].as_py(), b.column(1)[row].as_py(), removed, n_spans, [hashlib.sha256(k).hexdigest() for k in kept], kept if with_text else [None] * len(kept)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
+
+    return df.select("docs", "digests", "ends", "texts", "spans").mapInArrow(run, "doc long, digest binary, n_removed long, n_spans long, kept_sha256 string, kept binary")
+
+
+def cut_blocks(heads: DataFrame, n_bytes: int, scratch: Scratch, with_text: bool) -> DataFrame:
+    """What cut_texts returns, of heads(doc, digest, text): different texts of SPAN bytes or more, n_bytes in all."""
+    spark, s = heads.sparkSession, scratch
+    hashes = Hashes(n_bytes, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    stored = s.table(blocks(heads, hashes), "blocks")
+    hot = s.table(hot_values(stored.select("block", F.explode("items").alias("x")).select("block", "x.r", "x.values"), hashes), "hot")
+    of_block = hot.groupBy("block").agg(F.collect_list(F.struct("r", "values")).alias("hot"))  # at most the block's own anchors
+    seg = segments(stored.drop("items").join(of_block.hint("merge"), "block"), hashes).withColumn("sid", F.xxhash64("seg", "back"))
     seg = s.table(seg, "segments")
-    _free(spark)
-    size = F.octet_length("seg")
-    variants = s.table(seg.groupBy("h", "sid").agg(F.min("doc").alias("doc"), F.first("back").alias("back"), F.first("seg").alias("seg")), "variants")
-    _free(spark)
-    many = variants.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    many = s.table(many, "anchors-with-variants")
-    solved = s.table(window_docs(variants.join(many, "h", "left_semi").repartition("h").sortWithinPartitions("h")), "solved")
-    _free(spark)
-    alone = variants.join(many, "h", "left_anti").select("h", "sid", F.array(F.struct(F.lit(0).alias("lo"), (size - SPAN).cast("int").alias("hi"), F.col("doc").alias("doc"))).alias("runs"))
-    first = s.table(solved.unionByName(alone), "first")
-    s.drop(solved, many, variants)
-    hit = seg.select("doc", "th", "h", "sid", "pos").join(first.withColumnRenamed("runs", "r"), ["h", "sid"]).select("doc", "th", "pos", F.explode("r").alias("r")).where(F.col("r.doc") < F.col("doc"))
-    span = F.struct((F.col("pos") + F.col("r.lo")).alias("s"), (F.col("pos") + F.col("r.hi") + SPAN).alias("e"))
-    out = s.table(hit.select("doc", "th", span.alias("x")).groupBy("doc", "th").agg(F.collect_list("x").alias("spans")), "spans")
-    s.drop(seg, first, hot_of)
-    _free(spark)
+    variants = s.table(seg.groupBy("h", "sid").agg(F.min("doc").alias("doc"), F.first("seg").alias("seg")), "variants")
+    counts = s.table(variants.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "anchors-with-variants")
+    sorted_ = variants.join(counts.where(F.col("n") <= MANY).select("h"), "h", "left_semi").repartition("h").sortWithinPartitions("h")
+    solved = s.table(window_docs(sorted_), "solved")
+    frequent = counts.where(F.col("n") > MANY).select("h")
+    if frequent.limit(1).count():
+        solved = solved.unionByName(s.table(by_window(variants.join(frequent, "h", "left_semi"), s), "solved-by-window"))
+    run = F.struct(F.lit(0).alias("lo"), (F.octet_length("seg") - SPAN).cast("int").alias("hi"), F.col("doc").alias("doc"))
+    alone = variants.join(counts, "h", "left_anti").select("h", "sid", F.array(run).alias("runs"))
+    hit = seg.select("doc", "block", "i", "h", "sid", "pos").join(solved.unionByName(alone), ["h", "sid"]).select("doc", "block", "i", "pos", F.explode("runs").alias("r")).where(F.col("r.doc") < F.col("doc"))
+    span = F.struct("i", (F.col("pos") + F.col("r.lo")).alias("s"), (F.col("pos") + F.col("r.hi") + SPAN).alias("e"))
+    spans = s.table(hit.groupBy("block").agg(F.collect_list(span).alias("spans")), "spans")  # at most the block's own segments
+    s.drop(seg, variants, counts, hot)
+    out = s.table(cut_texts(stored.drop("items").join(spans.hint("merge"), "block", "left"), with_text), "cut")
+    s.drop(stored, spans)
     return out
 
 
-def remove_repeats(df: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes left) of each row of df(doc_id, text)."""
-    scratch = Scratch(df.sparkSession, "suffix-dedup")
+def remove_repeats(df: DataFrame, with_text: bool = True) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes left; null unless with_text) of each row of df(doc_id, text)."""
+    s = Scratch(df.sparkSession, "suffix-dedup")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     node = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
-    docs = df.select(node.alias("doc"), F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
-    spans = repeated_spans(docs.where(F.octet_length("text") >= SPAN).dropDuplicates(["doc", "th"]) if _has_doubles(docs) else docs.where(F.octet_length("text") >= SPAN), scratch)
-    out = cut_texts(docs.join(spans, ["doc", "th"], "left"))
-    return out.select(F.when(F.col("doc") != NULL_ID, F.col("doc")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
-
-
-def _has_doubles(docs: DataFrame) -> bool:
-    return docs.select(F.count("*") != F.count_distinct("doc")).first()[0]
+    digest = F.concat(*(F.unhex(F.lpad(F.hex(F.xxhash64(F.lit(seed), text)), 16, "0")) for seed in (1, 2)))
+    docs = df.select(node.alias("doc"), digest.alias("digest"), text.alias("text"))
+    short = F.octet_length("text") < SPAN
+    keys = s.table(docs.select("doc", "digest", F.octet_length("text").cast("long").alias("n_bytes"), F.when(short, F.col("text").cast("binary")).alias("short")), "keys")
+    long_ = keys.where(F.col("short").isNull())
+    heads = s.table(long_.groupBy("digest").agg(F.min("doc").alias("doc"), F.max("n_bytes").alias("n"), F.count("*").alias("rows")), "heads")
+    n_bytes = heads.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    texts = docs.where(~short).join(heads.select("doc", "digest").hint("shuffle_hash"), ["doc", "digest"])
+    if long_.join(heads.where("rows > 1").hint("merge"), ["doc", "digest"]).groupBy("digest").count().where("count > 1").limit(1).count():
+        texts = texts.dropDuplicates(["doc", "digest"])  # repeated rows
+    cut = cut_blocks(texts, n_bytes, s, with_text).withColumnsRenamed({"doc": "d2", "digest": "g2"})
+    out = keys.join(cut.hint("merge"), (F.col("doc") == F.col("d2")) & (F.col("digest") == F.col("g2")), "left")
+    none = F.lit("").cast("binary")
+    gone = F.col("short").isNull() & F.col("d2").isNull()  # an earlier document has the whole text
+    pick = lambda whole, plain, found: F.when(gone, whole).when(F.col("short").isNotNull(), plain).otherwise(found)
+    return out.select(
+        F.when(F.col("doc") != NULL_ID, F.col("doc")).alias("doc_id"), "n_bytes", pick(F.col("n_bytes"), F.lit(0), F.col("n_removed")).cast("long").alias("n_removed"), pick(F.lit(1), F.lit(0), F.col("n_spans")).cast("long").alias("n_spans"),
+        pick(F.sha2(none, 256), F.sha2("short", 256), F.col("kept_sha256")).alias("kept_sha256"), pick(none, F.col("short"), F.col("kept")).alias("kept"),
+    )
 
 
 def op8_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
-    return remove_repeats(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return remove_repeats(documents(spark, sf_dir), with_text=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")

@@ -361,10 +361,33 @@ def test_line_dedup(spark, none):
     assert line_dedup.dedup_lines(none).count() == 0
 
 
+def plain_line_dedup(corpus, least=10):
+    """Texts after line dedup, for each distinct (doc_id, text)."""
+    sites, places = defaultdict(set), defaultdict(list)
+    for doc, text, _, source, _ in corpus:
+        for pos, line in enumerate((text or "").split("\n")):
+            if k := line.strip(" \t\n\x0b\x0c\r"):
+                sites[k].add(source)
+                places[k].append((doc is not None, doc or 0, text, pos))
+    gone = {p for k, found in places.items() if len(sites[k]) >= least for p in found if p != min(found)}
+    return {(d, t): None if t is None else "\n".join(x for pos, x in enumerate(t.split("\n")) if (d is not None, d or 0, t, pos) not in gone) for d, t, *_ in corpus}
+
+
+def test_line_dedup_of_odd_rows(spark, docs, corpus):
+    assert line_dedup.dedup_lines(docs).columns == [*docs.columns, "n_removed"]  # clashing names pass through
+    data = [*corpus, *((5000 + k, f"a line on many sites\nown {k}\n" + "word " * (20_000 if k == 3 else 2), "en", f"s{k % 15}" if k else None, 0) for k in range(40))]
+    data += [data[-1]] * 3 + [(None, "a line on many sites\nwithout an id", "en", "s1", 0)] * 2  # repeated rows lose the same lines
+    want = plain_line_dedup(data)
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_removed long").repartition(7)
+    got = df.select("doc_id", "text").exceptAll(line_dedup.dedup_lines(df).select("doc_id", "text"))
+    assert Counter(tuple(r) for r in line_dedup.dedup_lines(df).select("doc_id", "text").collect()) == Counter((d, want[d, t]) for d, t, *_ in data)
+    assert got.count() == sum(want[d, t] != t for d, t, *_ in data) > 40
+
+
 def test_lines_near_the_threshold_are_counted_exactly(spark):
     data = [(10 * sites + k, f"line on {sites} sites", "en", f"s{k}", 0) for sites in range(5, 16) for k in range(sites)]
     got = rows(line_dedup.dedup_lines(spark.createDataFrame([(i, *d[1:]) for i, d in enumerate(data)], "doc_id long, text string, lang string, source string, n_chars long")))
-    gone = Counter(data[r["doc_id"]][1] for r in got if r["__removed"])
+    gone = Counter(data[r["doc_id"]][1] for r in got if r["n_removed"])
     assert gone == {f"line on {n} sites": n - 1 for n in range(10, 16)}
 
 
@@ -427,18 +450,17 @@ def plain_removal(data):
     return out
 
 
-@pytest.mark.parametrize("bound", [4_000_000, 200])
-def test_repeats(docs, corpus, none, bound):
+@pytest.mark.parametrize("bounds", [{}, {"GROUP_BYTES": 200, "MANY": 2, "BLOCK_BYTES": 3000, "RANGE_VALUES": 50}])
+def test_repeats(docs, corpus, none, bounds, monkeypatch):
     want = plain_removal({-1 if r[0] is None else r[0]: (r[1] or "").encode() for r in corpus if r[0] is not None or r[1]})
-    old, suffix_dedup.GROUP_BYTES = suffix_dedup.GROUP_BYTES, bound  # the small one takes groups offset by offset
-    try:
-        got = rows(suffix_dedup.remove_repeats(docs))
-    finally:
-        suffix_dedup.GROUP_BYTES = old
+    for name, value in bounds.items():  # the small ones split anchors, groups, blocks and ranges
+        monkeypatch.setattr(suffix_dedup, name, value)
+    got = rows(suffix_dedup.remove_repeats(docs))
     assert len(got) == len(corpus)
     for r in got:
         d = -1 if r["doc_id"] is None else r["doc_id"]
         assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == want[d], d
+        assert hashlib.sha256(r["kept"]).hexdigest() == r["kept_sha256"]
     assert suffix_dedup.remove_repeats(none).count() == 0
 
 
