@@ -282,6 +282,44 @@ def test_disguises_do_not_depend_on_each_other():
         assert alone == pii.added_spans(beside, pii.base_spans(beside)), t
 
 
+def test_no_disguise_is_overlooked():
+    """disguised() holds wherever the transducers change a text."""
+    rng = random.Random(5)
+    bits = ["4539", " ", " ", "-", "+49", "plus", "Plus", "one", "Two", "drei", "cinq", "five", "un", "uno", "j\u0131m", "@", "at", "AT", "example", ".", "dot", "punkt", "com", "\uff11", "\u200b", "(at)", "( at )", "[ @]", "{.}", "<dot>", "word", ",", "<"]
+    bits += ["\xe4t", "Arobase", "\u017feven", "\u017fEIS", "c\u0130nco", "\u212a", "\xe9", "_", "\n", "z\xe9ro", "f\xfcnf", "5", "\u00a0"]
+    seen = Counter()
+    for _ in range(20_000):
+        t = "".join(rng.choice(bits) + rng.choice(["", "", " ", " ", "\t"]) for _ in range(rng.randint(1, 9)))
+        changed = "".join(pii.normalise(t).parts) != t
+        assert pii.disguised(t) or not changed, t
+        seen[changed, pii.disguised(t)] += 1
+    assert min(seen[True, True], seen[False, False]) > 1000
+
+
+def test_planted_disguises_are_found():
+    """Recall over random disguises of random identifiers."""
+    rng = random.Random(11)
+    digit = ["zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine"]
+    word = lambda: "".join(rng.choice("bcdfgklmprst") for _ in range(6))
+    found = n = 0
+    for _ in range(2000):
+        kind = rng.choice(["email", "ip", "phone"])
+        if kind == "email":
+            a, b = word(), word()
+            plant = rng.choice([f"{a} [at] {b} [dot] com", f"{a} at {b} dot com", f"{a}\u200b@{b}.com", f"{a}(at){b}.com", f"{a} @ {b}.com", f"{a}@{b}.com".replace("c", "\u0441", 1)])
+        elif kind == "ip":
+            parts = [str(rng.randint(1, 255)) for _ in range(4)]
+            plant = rng.choice([" dot ".join(" ".join(digit[int(c)] for c in p) for p in parts), " dot ".join(parts), "[.]".join(parts), ".".join(parts).translate({48 + k: 0xFF10 + k for k in range(10)})])
+        else:
+            d = "".join(rng.choice("123456789") for _ in range(11))
+            plant = rng.choice(["plus " + " ".join(digit[int(c)] for c in d), "plus " + d, "+" + "\u00a0".join([d[:2], d[2:5], d[5:]]), "\uff0b" + d])
+        t = f"{word()} {word()}, {plant} , {word()}"
+        s = t.index(plant)
+        n += 1
+        found += any(k == kind and a <= s and z >= s + len(plant) - 1 for k, a, z in pii.added_spans(t, pii.base_spans(t)))
+    assert found / n > 0.97, found / n
+
+
 @pytest.mark.parametrize("text", ["", "look at the one two house", "meet me at example.com", "un deux trois quatre", "Die drei vier fünf sechs Leute", "x@y", "1.2.3", "a (at) b"])
 def test_clean_texts_stay_clean(text):
     assert pii.added_spans(text, pii.base_spans(text)) == []
