@@ -9,7 +9,10 @@ doubling, in a few array steps for each run.
 The encoder writes a byte payload as palette indices, 576 to a row, in frames of up to 64 rows with a delay each,
 with LZW codes.
 
-Defined results: a null or empty text is one row of 255s; a media value that is null or is no GIF has no frames.
+Defined results: a null or empty text is one row of 255s, a very long one has many frames; equal texts have equal
+media; repeated rows come back as often as they occur, a null doc_id as it is. A media value that is null or no GIF, that
+breaks off before its trailer, or whose canvas passes MOST_PIXELS, has null features and no frames. Other columns,
+whatever their names, are not looked at. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -226,10 +229,16 @@ def read_gif(data: bytes) -> Gif:
         raise ValueError("a GIF that ends early") from e
 
 
+#: Canvases and frames with more pixels are refused.
+MOST_PIXELS = 1 << 26
+
+
 def _palette(data: bytes, at: int, flags: int) -> tuple[np.ndarray | None, int]:
     if not flags & 0x80:
         return None, at
     n = 3 << ((flags & 7) + 1)
+    if len(data) < at + n:
+        raise ValueError("a palette that ends early")
     return np.frombuffer(data[at : at + n], np.uint8).reshape(-1, 3), at + n
 
 
@@ -243,6 +252,8 @@ def _sub_blocks(data: bytes, at: int) -> tuple[bytes, int]:
 
 def _read(data: bytes) -> Gif:
     width, height, flags, background, _ = struct.unpack_from("<HHBBB", data, 6)
+    if width * height > MOST_PIXELS:
+        raise ValueError("a canvas beyond the bound")
     palette, at = _palette(data, 13, flags)
     gif = Gif(width, height, background, palette, [])
     delay, disposal, transparent = 0, 0, None
@@ -257,6 +268,8 @@ def _read(data: bytes) -> Gif:
             left, top, w, h, flags = struct.unpack_from("<HHHHB", data, at + 1)
             local, at = _palette(data, at + 10, flags)
             least = data[at]
+            if not 1 <= least <= 11 or w * h > MOST_PIXELS:
+                raise ValueError("a code size or a frame beyond the bound")
             body, at = _sub_blocks(data, at + 1)
             idx = lzw_decode(body, least, w * h)
             idx = np.pad(idx, (0, w * h - len(idx))).reshape(h, w)
@@ -353,7 +366,7 @@ def encode_texts(df: DataFrame) -> DataFrame:
     return df.select("doc_id", F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
-def media_features(df: DataFrame, keep: list[str], with_payload: bool = True) -> DataFrame:
+def media_features(df: DataFrame, keep: list[str]) -> DataFrame:
     """The columns in keep and, read back from media: payload digests, size, canvas, frames, time, and the summed histogram."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -383,27 +396,44 @@ def media_features(df: DataFrame, keep: list[str], with_payload: bool = True) ->
     return src.mapInArrow(run, f"{kept}, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
-def timed_frames(df: DataFrame, key: str) -> DataFrame:
+def timed_frames(df: DataFrame, key: str, with_rgba: bool = True) -> DataFrame:
     """One row for each frame of df(key, media): place in time, its rectangle, the RGBA canvas as shown, and its histogram."""
 
+    kind = df.schema[key].dataType.simpleString()
+    names = ["key", "frame", "start_ms", "delay_ms", "left", "top", "width", "height", "disposal", "transparent", "rgba", "histogram"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        i32 = pa.int32()
+        types = [i32, i32, i32, i32, i32, i32, i32, i32, i32, pa.binary(), pa.list_(pa.int64())]
         for b in batches:
-            for k, m in zip(b.column(0), b.column(1), strict=True):
+            for k in range(b.num_rows):
                 try:
-                    gif = read_gif(m.as_py() or b"")
+                    gif = read_gif(b.column(1)[k].as_py() or b"")
                 except ValueError:
                     continue
-                start = 0
-                for i, (f, c) in enumerate(zip(gif.frames, canvases(gif), strict=True)):
-                    yield pa.RecordBatch.from_pylist([{"key": k.as_py(), "frame": i, "start_ms": start, "delay_ms": 10 * f.delay, "left": f.left, "top": f.top, "width": f.width, "height": f.height, "disposal": f.disposal, "transparent": f.transparent, "rgba": c.tobytes(), "histogram": histogram(c).tolist()}], schema=schema)
-                    start += 10 * f.delay
+                start, rows, size = 0, [], 0
+                shown = zip(gif.frames, canvases(gif), strict=True)
+                for i, (f, c) in enumerate(shown):
+                    rows.append((i, start, 10 * f.delay, f.left, f.top, f.width, f.height, f.disposal, f.transparent, c.tobytes() if with_rgba else None, histogram(c)))
+                    start, size = start + 10 * f.delay, size + c.size
+                    if size >= FRAME_BYTES or i + 1 == len(gif.frames):
+                        cols = [pa.array([r[j] for r in rows], t) for j, t in enumerate(types)]
+                        yield pa.RecordBatch.from_arrays([b.column(0).slice(k, 1).take(pa.array([0] * len(rows))), *cols], names=names)
+                        rows, size = [], 0
 
-    kind = df.schema[key].dataType.simpleString()
     spark_schema = f"key {kind}, frame int, start_ms int, delay_ms int, left int, top int, width int, height int, disposal int, transparent int, rgba binary, histogram array<long>"
-    i32 = pa.int32()
-    schema = pa.schema([("key", pa.string() if kind == "string" else pa.int64() if kind == "bigint" else i32), *((n, i32) for n in ("frame", "start_ms", "delay_ms", "left", "top", "width", "height", "disposal", "transparent")), ("rgba", pa.binary()), ("histogram", pa.list_(pa.int64()))])
     return df.select(F.col(key).alias("key"), "media").mapInArrow(run, spark_schema).withColumnRenamed("key", key)
 
 
+#: Canvases of one media value are handed on in batches of about this many bytes.
+FRAME_BYTES = 16 << 20
+
+
+def gif_timed_frames(spark, sf_dir: str) -> DataFrame:
+    """The frames of every document's GIF: their times, rectangles and colour histograms."""
+    frames = timed_frames(encode_texts(documents(spark, sf_dir)), "doc_id", with_rgba=False)
+    return frames.select("doc_id", "frame", "start_ms", "delay_ms", "left", "top", "width", "height", "disposal", F.array_join("histogram", ",").alias("histogram"))
+
+
 def op2_gif_media(spark, sf_dir: str) -> DataFrame:
     return media_features(encode_texts(documents(spark, sf_dir)), ["doc_id", "n_bytes"])

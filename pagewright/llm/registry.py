@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_suffix_array_dedup": suffix_dedup.op8_suffix_array_dedup,
         "op9_mixing": mixing.op9_mixing,
         "op10_best_fit_packing": packing.op10_best_fit_packing,
+        "gif_timed_frames": gif.gif_timed_frames,
     }
 
 
