@@ -7,7 +7,9 @@ length to sequences and offsets, and rows meet it by their exact rank among the
 
 Defined results: a null text is an empty document, which is the end id alone; a document with up to `capacity`
 ids is one piece; a longer one is cut so that all pieces but the first are full. Repeated rows are packed as
-often as they occur. An empty table packs to an empty result. Other columns are not looked at.
+often as they occur, a null doc_id like any other; very long texts are cut, never shortened; pieces of equal length are
+ordered by a hash and doc_id. Other columns, whatever their names, are not looked at. An empty table packs to an empty
+result.
 """
 
 from __future__ import annotations
@@ -22,11 +24,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from pagewright.llm.common import Scratch, documents
+from pagewright.llm.common import Scratch, documents, packed, unpacked
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Pieces of one length are ranked in buckets of about this many rows.
-RANK_ROWS = 500_000
+RANK_ROWS = 100_000
 
 
 def tokenizer_file() -> str:
@@ -205,23 +207,22 @@ def pack(pieces: DataFrame, capacity: int = 1024, scratch: Scratch | None = None
     scratch = scratch or Scratch(spark, "packing")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     plan, _ = plan_best_fit(counts, capacity)
-    buckets = max(1, min(4096, -(-sum(counts.values()) // RANK_ROWS)))
-    ranked = pieces.withColumn("__b", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
-    before = Window.partitionBy("length").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    base = ranked.groupBy("length", "__b").agg(F.count("*").alias("n")).withColumn("__base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    # at most capacity * 4096 rows: bounded whatever the input
-    ranked = ranked.withColumn("__k", F.row_number().over(Window.partitionBy("length", "__b").orderBy("doc_id", "piece")) - 1)
-    if buckets > 1:
-        ranked = ranked.join(base, ["length", "__b"]).withColumn("__k", F.col("__k") + F.col("__base")).drop("__base")
-    schema = T.StructType([T.StructField(n, T.LongType()) for n in ("__l", "k0", "k1", "base", "q", "place")])
-    by_length = spark.createDataFrame(plan, schema).groupBy("__l").agg(F.sort_array(F.collect_list(F.struct("k0", "k1", "base", "q", "place"))).alias("__runs"))
+    buckets = [max(1, -(-counts.get(n, 0) // RANK_ROWS)) for n in range(capacity + 1)]  # of each length, by its own count
+    of_length = F.array(*map(F.lit, buckets))[F.col("length").cast("int")]
+    ranked = packed(pieces, length=F.col("length"), doc=F.col("doc_id"), piece=F.col("piece")).withColumn("b", F.pmod(F.xxhash64("doc", "piece"), of_length).cast("int"))
+    before = Window.partitionBy("length").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    base = ranked.groupBy("length", "b").agg(F.count("*").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    ranked = ranked.withColumn("k", F.row_number().over(Window.partitionBy("length", "b").orderBy("doc", "piece")) - 1)
+    if max(buckets) > 1:
+        ranked = ranked.join(base.hint("shuffle_hash"), ["length", "b"]).withColumn("k", F.col("k") + F.col("base"))
+    schema = T.StructType([T.StructField(n, T.LongType()) for n in ("l", "k0", "k1", "first", "q", "place")])
+    by_length = spark.createDataFrame(plan, schema).groupBy("l").agg(F.sort_array(F.collect_list(F.struct("k0", "k1", "first", "q", "place"))).alias("runs"))
     # one row for each length, and runs that depend on the capacity alone: small by construction
-    j = ranked.join(F.broadcast(by_length), F.col("length") == F.col("__l"))
-    run = F.filter("__runs", lambda x: (x["k0"] <= F.col("__k")) & (F.col("__k") < x["k1"]))[0]
-    j = j.withColumn("__r", run).withColumn("__i", F.col("__k") - F.col("__r.k0"))
-    return j.withColumn("sequence_id", F.col("__r.base") + F.floor(F.col("__i") / F.col("__r.q")).cast("long")).withColumn(
-        "offset", F.col("__r.place") + F.col("length") * F.pmod(F.col("__i"), F.col("__r.q"))
-    ).drop("__b", "__k", "__l", "__runs", "__r", "__i")
+    j = ranked.join(F.broadcast(by_length), F.col("length") == F.col("l"))
+    j = j.withColumn("r", F.filter("runs", lambda x: (x["k0"] <= F.col("k")) & (F.col("k") < x["k1"]))[0]).withColumn("i", F.col("k") - F.col("r.k0"))
+    sequence = F.col("r.first") + F.floor(F.col("i") / F.col("r.q")).cast("long")
+    offset = F.col("r.place") + F.col("length") * F.pmod(F.col("i"), F.col("r.q"))
+    return j.select(*unpacked([c for c in pieces.columns if c not in ("sequence_id", "offset")]), sequence.alias("sequence_id"), offset.alias("offset"))
 
 
 def pack_documents(df: DataFrame, capacity: int = 1024, end_id: int = 2, path: str | None = None, with_ids: bool = False) -> DataFrame:
