@@ -10,12 +10,16 @@ Labels are read from training rows only: crc32 of the doc_id as text, mod 4, is
 The fit takes at most `positives` toxic and `unlabelled` other texts, the first in the order of a hash of doc_id;
 that bound is a documented parameter, and everything else covers all documents.
 
-Defined results: a null or empty text scores as a text without known words; without any toxic training row every
-score is the prior (0 if there are no labels).
+Defined results: a null or empty text scores as a text without known words, a very long one by all of its words;
+without any toxic training row every score is the prior (0 if there are no labels). Repeated rows, or rows that share a
+doc_id, are scored each by its own text; a doc_id that `labels` names twice counts as toxic if one row says so; a null
+doc_id or label is not learnt from. A score at the threshold counts as toxic. Columns other than doc_id, text and toxic,
+whatever their names, are not looked at. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -75,27 +79,38 @@ class Model:
         known = Buckets()
 
         def score(text: str | None) -> float:
-            z = bias + sum({f: weights[f] for f in map(known.__getitem__, _tokens(text)) if f in weights}.values())
+            z = bias + math.fsum({f: weights[f] for f in map(known.__getitem__, _tokens(text)) if f in weights}.values())  # in any order
             return float(1 / (1 + np.exp(-min(50.0, max(-50.0, z)))))
 
         return score
 
 
+def risk(z: np.ndarray, n_p: int, prior: float) -> tuple[float, float]:
+    """The two terms of the risk at outputs z, positives first: prior * E_p[l(+)], and E_u[l(-)] - prior * E_p[l(-)]."""
+    zp, zu = z[:n_p], z[n_p:]
+    return prior * np.logaddexp(0, -zp).mean(), np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+
+
+def slopes(z: np.ndarray, n_p: int, prior: float) -> np.ndarray:
+    """What a step descends, by output: the whole risk's slopes; where its second term is below zero, that term's, turned round."""
+    sig = lambda x: 1 / (1 + np.exp(-np.clip(x, -50, 50)))
+    g = np.empty(len(z))
+    n_u = len(z) - n_p
+    if risk(z, n_p, prior)[1] >= 0:
+        g[:n_p] = -prior / n_p  # the slopes of l(+) and -l(-) add up to -1
+        g[n_p:] = sig(z[n_p:]) / n_u
+    else:
+        g[:n_p] = prior * sig(z[:n_p]) / n_p
+        g[n_p:] = -sig(z[n_p:]) / n_u
+    return g
+
+
 def _descend(row, column, value, n_p: int, n_u: int, d: int, prior: float, w, b: float, epochs: int, rate: float, shrink: float):
     """Proximal descent with momentum on the non-negative risk, all rows at once; `shrink` is the absolute-value penalty."""
-    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -50, 50)))
     speed = np.zeros(d + 1)
     for _ in range(epochs):
         z = np.bincount(row, weights=w[column] * value, minlength=n_p + n_u) + b
-        zp, zu = z[:n_p], z[n_p:]
-        minus = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        g = np.empty(n_p + n_u)
-        if minus >= 0:
-            g[:n_p] = -prior / n_p  # the slopes of l(+) and -l(-) add up to -1
-            g[n_p:] = sig(zu) / n_u
-        else:
-            g[:n_p] = prior * sig(zp) / n_p
-            g[n_p:] = -sig(zu) / n_u
+        g = slopes(z, n_p, prior)
         grad = np.append(np.bincount(column, weights=g[row] * value, minlength=d), g.sum())
         speed = 0.9 * speed - rate * grad
         w = w + speed[:d]
@@ -136,7 +151,7 @@ FIRST_EPOCHS, FIRST_RATE, SECOND_EPOCHS, SECOND_RATE = 400, 0.1, 1500, 1.0
 
 def train(df: DataFrame, labels: DataFrame, positives: int = 6000, unlabelled: int = 12000) -> Model:
     """Fits on documents df(doc_id, text) and labels(doc_id, toxic)."""
-    known = labels.where(~held_out() & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "toxic")
+    known = labels.where(~held_out() & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n, toxic = known.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not toxic:
         return Model(0.0, -50.0, {})
