@@ -26,8 +26,8 @@ SELECT d AS doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(c) AS
 def op5_sql(rules: AdaptiveRules | None = None) -> str:
     rules = rules or AdaptiveRules()
     base = (1 + rules.alpha) / (1 - rules.alpha)
-    value = {m: f"CASE WHEN {b} > 0 THEN {a}::DOUBLE / {b} ELSE 0 END" for m, (a, b, _) in rules.metrics.items()}
-    rows = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS metric, {v} AS v FROM c" for m, v in value.items())
+    value = {m: f"CASE WHEN {b} > 0 THEN {a}::DOUBLE / {b} ELSE 0 END" for m, (a, b, *_) in rules.metrics.items()}
+    rows = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS metric, {v} AS v FROM c WHERE NOT base_failed" + f" AND {v} > 0" * rules.metrics[m][2] for m, v in value.items())
     at = lambda q: f"min(bucket) FILTER (upto >= {q}::DOUBLE * n_rows)"
     read = lambda b: f"CASE WHEN {b} = -1000000 THEN 0 ELSE 2 * pow({base!r}::DOUBLE, {b}) / {base + 1!r}::DOUBLE END"
 
@@ -38,8 +38,9 @@ def op5_sql(rules: AdaptiveRules | None = None) -> str:
 {name} AS (SELECT {keys}metric, any_value(n_rows) AS n_rows, {read(at(0.25))} AS q1, {read(at(0.75))} AS q3 FROM {name}1 GROUP BY {keys}metric)"""
 
     pick = lambda q: f"CASE WHEN f.n_rows >= {rules.support} THEN f.{q} WHEN m.n_rows >= {rules.support} THEN m.{q} ELSE t.{q} END"
-    slack = "CASE f.metric " + " ".join(f"WHEN '{m}' THEN {s!r}::DOUBLE" for m, (_, _, s) in rules.metrics.items()) + " END"
-    failed = "list_filter([" + ", ".join(f"CASE WHEN {v} > (SELECT fence FROM fe WHERE fe.lang IS NOT DISTINCT FROM c.lang AND fe.source IS NOT DISTINCT FROM c.source AND fe.metric = '{m}') THEN '{m}' END" for m, v in value.items()) + "], lambda x: x IS NOT NULL)"
+    fence = lambda m: f"(SELECT fence FROM fe WHERE fe.lang IS NOT DISTINCT FROM c.lang AND fe.source IS NOT DISTINCT FROM c.source AND fe.metric = '{m}')"
+    failed = "list_filter([" + ", ".join(f"CASE WHEN {a} > {fence(m)} * {b} + {few} THEN '{m}' END" for m, (a, b, _, few) in rules.metrics.items()) + "], lambda x: x IS NOT NULL)"
+    metrics = ", ".join(f"('{m}')" for m in rules.metrics)
     count = lambda cls: f"(length(t) - length(regexp_replace(t, '{cls}', '', 'g')))::BIGINT"
     return rf"""
 WITH w AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_W}') AS w,
@@ -48,16 +49,19 @@ g AS (SELECT doc_id, i, array_to_string(w[i:i + 2], ' ') AS k FROM (SELECT doc_i
 d AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, k) AS n FROM g) WHERE n > 1),
 rep AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM d CROSS JOIN (VALUES (0), (1), (2)) o(j) GROUP BY doc_id),
 c AS (SELECT w.doc_id, lang, source, len(w)::BIGINT AS n_words, length(regexp_replace(t, '{_S}', '', 'g'))::BIGINT AS word_chars, {count('[#*$%&|<>]')} AS n_symbols,
-    (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, len(lines)::BIGINT AS n_lines, {count('[A-Z]')} AS n_upper, {count('!')} AS n_bang
+    (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words,
+    len(w) < {rules.min_words} OR 100 * coalesce(rep.n, 0) > {rules.max_repeat_percent} * len(w) AS base_failed, len(lines)::BIGINT AS n_lines, {count('[A-Z]')} AS n_upper, {count('!')} AS n_bang
   FROM w LEFT JOIN rep ON rep.doc_id = w.doc_id),
 x AS ({rows}),
 sk AS (SELECT lang, source, metric, CASE WHEN v > 0 THEN ceil(ln(v) / {math.log(base)!r}::DOUBLE)::INT ELSE -1000000 END AS bucket, count(*) AS n FROM x GROUP BY ALL),
 {level("f", "lang, source")},
 {level("m", "lang")},
 {level("t", "")},
-fe AS (SELECT f.lang, f.source, f.metric, ({pick('q3')}) + {rules.spread!r}::DOUBLE * (({pick('q3')}) - ({pick('q1')})) + {slack} AS fence
-  FROM f JOIN m ON f.lang IS NOT DISTINCT FROM m.lang AND f.metric = m.metric JOIN t ON f.metric = t.metric),
-v AS (SELECT *, n_words < {rules.min_words} OR 100 * n_repeat_words > {rules.max_repeat_percent} * n_words AS base_failed, {failed} AS failed FROM c)
+gr AS (SELECT * FROM (SELECT DISTINCT lang, source FROM c) CROSS JOIN (VALUES {metrics}) v(metric)),
+fe AS (SELECT gr.lang, gr.source, gr.metric, ({pick('q3')}) + {rules.spread!r}::DOUBLE * (({pick('q3')}) - ({pick('q1')})) AS fence
+  FROM gr LEFT JOIN f ON gr.lang IS NOT DISTINCT FROM f.lang AND gr.source IS NOT DISTINCT FROM f.source AND gr.metric = f.metric
+  LEFT JOIN m ON gr.lang IS NOT DISTINCT FROM m.lang AND gr.metric = m.metric LEFT JOIN t ON gr.metric = t.metric),
+v AS (SELECT *, {failed} AS failed FROM c)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND len(failed) = 0 AS kept, array_to_string(failed, ',') AS failed_metrics FROM v
 """
 

@@ -3,12 +3,16 @@
 Features are exact counts over each whole text. Thresholds come from mergeable quantile sketches, one for each
 (language, source) and metric: logarithmic histograms whose buckets hold exact counts, so that sketches of
 partitions, sources and languages merge by adding counts and reruns agree. A quantile read from such a sketch
-has a relative error of at most `alpha`. The upper fence of a metric is Q3 + spread * (Q3 - Q1) + slack.
+has a relative error of at most `alpha`. Sketches hold the texts that pass the base rule. The upper fence of a metric is
+Q3 + spread * (Q3 - Q1), of all values, or of those above zero for events that a few normal texts have in number. A text
+fails a metric if it has `few` events more than the fence allows at its length.
 Groups with under `support` rows use the sketch of their language, and below that the one of the whole corpus.
 
-Defined results: a null text has no words and fails the base rule; null lang and source form groups of their
-own; an empty table gives an empty result; repeated rows are counted as often as they occur; columns of the
-input other than those named are not looked at.
+Defined results: a null or empty text has no words and fails the base rule; a very long text is counted whole; null
+lang and source form groups of their own; a null doc_id comes back as it is; repeated rows are counted as often as they
+occur and judged alike; a value at its fence passes; where no text of any group has a value, or none passes the base
+rule, the metric fails nothing; other columns, whatever their names, are not looked at, and the filter hands them on.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -16,6 +20,8 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pagewright.llm.common import Scratch, documents
+from pagewright.llm.common import Scratch, documents, packed, unpacked
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -105,16 +111,16 @@ def add_counts(df: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
 
 @dataclass(frozen=True)
 class AdaptiveRules:
-    """Metrics are ratios of two counts; `slack` is what a value may exceed the fence by in any group."""
+    """Metrics are ratios of two counts: (events, of what, whether only values above zero are sketched, few)."""
 
     metrics: dict = field(
         default_factory=lambda: {
-            "symbol_ratio": ("n_symbols", "word_chars", 0.02),
-            "bang_ratio": ("n_bang", "word_chars", 0.02),
-            "upper_ratio": ("n_upper", "word_chars", 0.10),
-            "dup_line_ratio": ("n_dup_lines", "n_lines", 0.50),
-            "repeat_ratio": ("n_repeat_words", "n_words", 0.35),
-            "chars_per_word": ("word_chars", "n_words", 3.0),
+            "symbol_ratio": ("n_symbols", "word_chars", False, 5),
+            "bang_ratio": ("n_bang", "word_chars", False, 5),
+            "upper_ratio": ("n_upper", "word_chars", False, 5),
+            "dup_line_ratio": ("n_dup_lines", "n_lines", True, 2),
+            "repeat_ratio": ("n_repeat_words", "n_words", True, 6),
+            "chars_per_word": ("word_chars", "n_words", False, 0),
         }
     )
     alpha: float = 0.01
@@ -125,19 +131,25 @@ class AdaptiveRules:
 
 
 def _value(rules: AdaptiveRules, m: str):
-    a, b, _ = rules.metrics[m]
+    a, b, *_ = rules.metrics[m]
     return F.when(F.col(b) > 0, F.col(a).cast("double") / F.col(b)).otherwise(F.lit(0.0))
 
 
+def _base_failed(rules: AdaptiveRules):
+    return (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
+
+
 def sketch(counts: DataFrame, rules: AdaptiveRules) -> DataFrame:
-    """lang, source, metric, bucket, n: one logarithmic histogram for each group and metric.
+    """lang, source, metric, bucket, n: one logarithmic histogram for each group and metric, of texts that pass the base rule.
 
     Bucket b > -10^6 stands for the values in (g^(b-1), g^b], g = (1 + alpha) / (1 - alpha); zero has its own.
     """
     g = math.log((1 + rules.alpha) / (1 - rules.alpha))
     bucket = lambda v: F.when(v > 0, F.ceil(F.log(v) / F.lit(g)).cast("int")).otherwise(F.lit(-1_000_000))
     rows = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), bucket(_value(rules, m)).alias("bucket")) for m in rules.metrics)))
-    return counts.select("lang", "source", rows.alias("x")).groupBy("lang", "source", "x.metric", "x.bucket").agg(F.count("*").alias("n"))
+    above = [m for m, (_, _, only_above, _) in rules.metrics.items() if only_above]
+    some = (F.col("bucket") > -1_000_000) | ~F.col("metric").isin(above) if above else F.lit(True)
+    return counts.where(~_base_failed(rules)).select("lang", "source", rows.alias("x")).select("lang", "source", "x.*").where(some).groupBy("lang", "source", "metric", "bucket").agg(F.count("*").alias("n"))
 
 
 def quantiles(sk: DataFrame, by: list[str], rules: AdaptiveRules) -> DataFrame:
@@ -152,15 +164,14 @@ def quantiles(sk: DataFrame, by: list[str], rules: AdaptiveRules) -> DataFrame:
     return q.select(*by, "metric", "n_rows", value(F.col("b1")).alias("q1"), value(F.col("b3")).alias("q3"))
 
 
-def fences(sk: DataFrame, rules: AdaptiveRules) -> DataFrame:
-    """lang, source, and a fence for each metric: from the finest sketch with enough support."""
-    slack = F.create_map(*(F.lit(x) for m, (_, _, s) in rules.metrics.items() for x in (m, s)))
-    fine = quantiles(sk, ["lang", "source"], rules)
-    mid = quantiles(sk, ["lang"], rules).select(F.col("lang").alias("l2"), F.col("metric").alias("m2"), F.col("n_rows").alias("n2"), F.col("q1").alias("q1_2"), F.col("q3").alias("q3_2"))
-    top = quantiles(sk, [], rules).select(F.col("metric").alias("m3"), F.col("q1").alias("q1_3"), F.col("q3").alias("q3_3"))
-    j = fine.join(mid, F.col("lang").eqNullSafe(F.col("l2")) & (F.col("metric") == F.col("m2"))).join(F.broadcast(top), F.col("metric") == F.col("m3"))
-    pick = lambda q: F.when(F.col("n_rows") >= rules.support, F.col(q)).when(F.col("n2") >= rules.support, F.col(f"{q}_2")).otherwise(F.col(f"{q}_3"))
-    fence = pick("q3") + rules.spread * (pick("q3") - pick("q1")) + slack[F.col("metric")]
+def fences(counts: DataFrame, sk: DataFrame, rules: AdaptiveRules) -> DataFrame:
+    """lang, source, and a fence for each metric, from the finest sketch with enough support; null where there is none."""
+    groups = counts.groupBy("lang", "source").agg(F.count("*").alias("n")).select("lang", "source", F.explode(F.array(*map(F.lit, rules.metrics))).alias("metric"))
+    level = lambda by, k: quantiles(sk, by, rules).toDF(*(f"{c}{k}" for c in (*by, "metric", "n", "q1_", "q3_")))
+    same = lambda k, *by: reduce(and_, (F.col(c).eqNullSafe(F.col(f"{c}{k}")) for c in by), F.col("metric") == F.col(f"metric{k}"))
+    j = groups.join(level(["lang", "source"], 1), same(1, "lang", "source"), "left").join(level(["lang"], 2), same(2, "lang"), "left").join(F.broadcast(level([], 3)), same(3), "left")
+    pick = lambda q: F.when(F.col("n1") >= rules.support, F.col(f"{q}_1")).when(F.col("n2") >= rules.support, F.col(f"{q}_2")).otherwise(F.col(f"{q}_3"))
+    fence = pick("q3") + rules.spread * (pick("q3") - pick("q1"))
     return j.groupBy("lang", "source").agg(*(F.max(F.when(F.col("metric") == m, fence)).alias(f"fence_{m}") for m in rules.metrics))
 
 
@@ -170,11 +181,11 @@ def judge(counts: DataFrame, rules: AdaptiveRules, scratch: Scratch) -> DataFram
     Sketches and fences are tables of one row for each group and metric; the join on (lang, source) has one
     row on its right side for each group, so hot groups can be split.
     """
-    table = scratch.table(fences(scratch.table(sketch(counts, rules), "sketch"), rules), "fences").select(F.col("lang").alias("__l"), F.col("source").alias("__s"), *(f"fence_{m}" for m in rules.metrics))
+    table = scratch.table(fences(counts, scratch.table(sketch(counts, rules), "sketch"), rules), "fences").select(F.col("lang").alias("__l"), F.col("source").alias("__s"), *(f"fence_{m}" for m in rules.metrics))
     j = counts.join(table, F.col("lang").eqNullSafe(F.col("__l")) & F.col("source").eqNullSafe(F.col("__s")), "left")
-    failed = F.array_compact(F.array(*(F.when(_value(rules, m) > F.col(f"fence_{m}"), F.lit(m)) for m in rules.metrics)))
-    base = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
-    return j.withColumn("base_failed", base).withColumn("failed_metrics", failed).withColumn("kept", ~F.col("base_failed") & (F.size("failed_metrics") == 0)).drop("__l", "__s", *(f"fence_{m}" for m in rules.metrics))
+    fails = lambda m, a, b, few: F.when(F.col(a) > F.col(f"fence_{m}") * F.col(b) + few, F.lit(m))
+    failed = F.array_compact(F.array(*(fails(m, a, b, few) for m, (a, b, _, few) in rules.metrics.items())))
+    return j.withColumn("base_failed", _base_failed(rules)).withColumn("failed_metrics", failed).withColumn("kept", ~F.col("base_failed") & (F.size("failed_metrics") == 0)).drop("__l", "__s", *(f"fence_{m}" for m in rules.metrics))
 
 
 def quality_verdicts(df: DataFrame, rules: AdaptiveRules | None = None) -> DataFrame:
@@ -186,9 +197,10 @@ def quality_verdicts(df: DataFrame, rules: AdaptiveRules | None = None) -> DataF
 
 def quality_filter(df: DataFrame, rules: AdaptiveRules | None = None) -> DataFrame:
     """The rows of df that are kept, with df's columns."""
-    good = quality_verdicts(df, rules).where("kept").select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h"), F.lit(1).alias("__k")).distinct()
-    marked = df.withColumn("__x", F.xxhash64("text"))
-    return marked.join(good, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__x") == F.col("__h")), "left_semi").drop("__x")
+    verdicts = quality_verdicts(df, rules).where("kept").select(F.col("doc_id").alias("d2"), F.col("text_hash").alias("h2"), F.col("lang").alias("l2"), F.col("source").alias("s2")).distinct()
+    marked = packed(df, d=F.col("doc_id"), h=F.xxhash64("text"), l=F.col("lang"), s=F.col("source"))
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"{c}2")) for c in "dhls"))
+    return marked.join(verdicts.hint("shuffle_hash"), same, "left_semi").select(*unpacked(df.columns))
 
 
 def op5_quality_rules(spark, sf_dir: str) -> DataFrame:
