@@ -1,32 +1,35 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
 Targets are filled like connected vessels: sources share a total by weight, none above twice its own size. Each
-source's documents are put in a random order by a seeded hash; the mix takes whole passes over that order and then
-its head, up to the target, so that draws of a pass are disjoint. Equal runs of words in that order are blocks.
-Blocks go to output shards by a splitting tree: at each node, the block quotas of all sources are divided between
-the two halves of the shards by a multivariate hypergeometric draw, so that each shard gets exact quotas that look
-like a random deal. Blocks of a source meet its shards through an affine permutation; within a shard, a seeded
-hash gives the order.
-
-Only totals of each source reach the driver. Running sums are two-level: hash ranges of a source first, rows of a
-range next, so that a hot source has no single task.
-
-Defined results: a null text has size 0; a null source is a source of its own, last in order; documents without
-words are drawn like others but add nothing; an empty table gives an empty result; repeated rows are drawn
-separately where their order tells them apart. Equal seeds give equal mixes.
+source's documents are put in a random order by a seeded hash, and equal runs of words in that order are its blocks, at
+least `4 * shards` of them where it has so many words. Pass after pass over the blocks are the source's units; its quota
+is the number of units up to its target. A splitting tree divides the quotas among output shards: at each node, those of
+all sources are divided between the two halves of the shards by a multivariate hypergeometric draw, so that each shard
+gets exact quotas that look like a random deal. The shards' quotas of a source are intervals of an affine permutation of
+its units: a unit belongs to the shard whose interval holds its place, and one beyond all of them is not drawn. The last
+unit of a source is drawn up to the target. Within a shard, a seeded hash gives the order.
+
+The driver sees one row for each source, at most `most_sources` of them, and plans from those alone. Running sums are
+two-level: hash ranges of a source first, rows of a range next, so that a hot source has no single task.
+
+Defined results: a null or empty text has size 0; a null source is a source of its own, last in order; documents without
+words are drawn like others but add nothing; a very long text belongs to the block that it starts in; repeated rows are
+drawn separately where their order tells them apart; a null doc_id is like any other; ties in the order go by doc_id and
+size; columns of any name pass through the mix unchanged; an empty table gives an empty result; more sources than
+`most_sources` are refused. Equal seeds give equal mixes.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from math import gcd
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from pagewright.llm.common import WORD, Scratch, documents
+from pagewright.llm.common import WORD, Scratch, documents, packed, unpacked
 
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Rows of one hash range of one source, about.
@@ -57,29 +60,59 @@ def split_tree(quotas: list[int], shards: int, rng: np.random.Generator) -> np.n
         return q[None]
     left = shards // 2
     take = int(q.sum()) * left // shards
-    mine = rng.multivariate_hypergeometric(q, take, method="marginals") if take and q.sum() < 10**9 else np.array(_deal(q, take, rng))
+    mine = rng.multivariate_hypergeometric(q, take, method="marginals") if len(q) else q
     return np.vstack([split_tree(mine, left, rng), split_tree(q - mine, shards - left, rng)])
 
 
-def _deal(q: np.ndarray, take: int, rng: np.random.Generator) -> list[int]:
-    """The same draw, source by source, where numpy's own sampler has too many items for its range."""
-    out, rest = [], int(q.sum())
-    for k in map(int, q):
-        rest -= k
-        if take <= 0 or not k:
-            x = 0
-        elif k + rest < 10**9:
-            x = int(rng.hypergeometric(k, rest, take))
-        else:
-            p = take * k / (k + rest)
-            sd = (p * rest / (k + rest) * (k + rest - take) / max(1, k + rest - 1)) ** 0.5
-            x = int(min(k, take, max(0, take - rest, round(rng.normal(p, sd)))))
-        out.append(x)
-        take -= x
+@dataclass
+class Plan:
+    """What rows of one source need: its blocks, its quota of units, and which of them go to which shard."""
+
+    src: str
+    source_size: int
+    target: float
+    n_blocks: int
+    block_words: int
+    last_words: float
+    units: int
+    step: int
+    shift: int
+    upto: list[int]
+
+
+def plan_mix(totals: list[tuple[str, int]], weights: tuple, share: float, cap: float, shards: int, block_words: int, seed: int) -> list[Plan]:
+    """Plans of sources (name, size), in order. `last_words`: how far the pass that reaches the target goes."""
+    sizes = [n for _, n in totals]
+    targets = fill_targets(sizes, [weights[i % len(weights)] for i in range(len(totals))], share, cap)
+    blocks, quotas, last = [], [], []
+    for n, t in zip(sizes, targets, strict=True):
+        k = max(-(-n // block_words), min(4 * shards, n), 1)
+        words = max(1, -(-n // k))
+        k = max(1, -(-n // words))
+        whole = int(t // n) if n else 0
+        left = t - whole * n
+        blocks.append((k, words))
+        quotas.append(k * whole + (min(k, int(left // words) + 1) if left > 0 else 0))
+        last.append(left if left > 0 else float(n))
+    if sum(quotas) >= 10**9:
+        raise ValueError("more than 10^9 blocks: raise block_words")
+    rng = np.random.default_rng(seed)
+    of_shard = split_tree(quotas, shards, rng)
+    out = []
+    for (src, n), t, (k, words), left, q in zip(totals, targets, blocks, last, of_shard.T, strict=True):
+        units = max(1, int(q.sum()))
+        step = int(rng.integers(1, max(2, units)))
+        while gcd(step, units) != 1:
+            step += 1
+        out.append(Plan(src, n, t, k, words, left, units, step, int(rng.integers(0, units)), q.cumsum().tolist()))
     return out
 
 
-def mix(df: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple = WEIGHTS, shards: int = 64, block_words: int = 1_000_000, seed: int = 17) -> DataFrame:
+PLAN = "src string, source_size long, target double, n_blocks long, block_words long, last_words double, units long, step long, shift long, upto array<bigint>"
+NO_DRAWS = "array<struct<epoch:int,block:bigint,shard:int,place:bigint>>"
+
+
+def mix(df: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple = WEIGHTS, shards: int = 64, block_words: int = 1_000_000, seed: int = 17, most_sources: int = 100_000) -> DataFrame:
     """Every row of df(doc_id, source, text): size, source_size, target, and draws, an array of (epoch, block, shard, place)."""
     spark = df.sparkSession
     scratch = Scratch(spark, "mixing")
@@ -87,57 +120,50 @@ def mix(df: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple = WE
         df.select("doc_id", F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n")).alias("src"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("h")),
         "sizes",
     )
-    totals = rows.groupBy("src").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()  # one row for each source
+    totals = rows.groupBy("src").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(most_sources + 1).collect()
+    if len(totals) > most_sources:
+        raise ValueError(f"more than {most_sources} sources to mix")
     totals.sort(key=lambda r: (r["src"] == "n", r["src"]))
-    targets = fill_targets([r["size"] for r in totals], [weights[i % len(weights)] for i in range(len(totals))], share, cap)
-    plan, blocks = [], []
-    for r, t in zip(totals, targets, strict=True):
-        whole = int(t // r["size"]) if r["size"] else 0
-        n = max(1, -(-r["size"] // block_words))
-        left = t - whole * r["size"]
-        blocks.append(n * whole + (min(n, int(left // block_words) + 1) if left > 0 else 0))
-        plan.append([r["src"], r["size"], t, whole, left, n])
-    rng = np.random.default_rng(seed)
-    quotas = split_tree(blocks, shards, rng).T.cumsum(axis=1) if plan else []
-    for p, k, q in zip(plan, blocks, quotas, strict=True):
-        step = int(rng.integers(1, max(2, k)))
-        while gcd(step, max(1, k)) != 1:
-            step += 1
-        p += [max(1, k), step, int(rng.integers(0, max(1, k))), [int(x) for x in q]]
-    schema = T.StructType([T.StructField(n, t) for n, t in (("src", T.StringType()), ("source_size", T.LongType()), ("target", T.DoubleType()), ("whole", T.IntegerType()), ("left", T.DoubleType()), ("n_blocks", T.LongType()), ("units", T.LongType()), ("step", T.LongType()), ("shift", T.LongType()), ("upto", T.ArrayType(T.LongType())))])
-    n_rows = sum(r["n"] for r in totals)
-    ranges = max(16, min(65_536, -(-n_rows // RANGE_ROWS)))
+    plans = plan_mix([(r["src"], r["size"]) for r in totals], weights, share, cap, shards, block_words, seed)
+    plan = spark.createDataFrame([tuple(vars(p).values()) for p in plans], PLAN)
+    ranges = max(16, -(-sum(r["n"] for r in totals) // RANGE_ROWS))
     keyed = rows.withColumn("rg", F.floor((F.shiftrightunsigned("h", 33)) * F.lit(ranges) / F.lit(1 << 31)).cast("int"))
     sums = keyed.groupBy("src", "rg").agg(F.sum("size").alias("s"))
     before = sums.withColumn("base", F.coalesce(F.sum("s").over(Window.partitionBy("src").orderBy("rg").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("s")
     w = Window.partitionBy("src", "rg").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    placed = keyed.withColumn("run", F.sum("size").over(w) - F.col("size")).join(before, ["src", "rg"]).join(spark.createDataFrame(plan, schema), "src")
-    c = F.col("base") + F.col("run")
-    copies = F.col("whole") + F.when((F.col("left") > 0) & (c + F.col("size") / 2 <= F.col("left")), 1).otherwise(0)
-    block = F.least(F.floor(c / block_words), F.col("n_blocks") - 1).cast("long")
+    # at most most_sources rows
+    placed = keyed.withColumn("run", F.sum("size").over(w) - F.col("size")).join(before.hint("shuffle_hash"), ["src", "rg"]).join(F.broadcast(plan), "src")
+    at = F.col("base") + F.col("run")
+    placed = placed.withColumn("at", at).withColumn("block", F.least(F.floor(F.col("at") / F.col("block_words")), F.col("n_blocks") - 1).cast("long"))
+    quota = F.element_at("upto", -1)  # all shards' quotas
+    last_epoch = F.floor((quota - 1) / F.col("n_blocks"))
+
+    def drawn(e):
+        unit = e * F.col("n_blocks") + F.col("block")
+        return (unit < quota) & ((e < last_epoch) | (F.col("at") + F.col("size") / 2 <= F.col("last_words")))
 
     def draw(e):
-        unit = F.pmod((e.cast("long") * F.col("n_blocks") + F.col("block")) * F.col("step") + F.col("shift"), F.col("units"))
-        shard = F.size(F.filter("upto", lambda x: x <= unit))
-        return F.struct(e.alias("epoch"), F.col("block").alias("block"), F.least(shard, F.lit(shards - 1)).cast("int").alias("shard"), F.xxhash64(F.lit(seed + 1), shard, "h", e).alias("place"))
+        place = F.pmod((e * F.col("n_blocks") + F.col("block")) * F.col("step") + F.col("shift"), F.col("units"))
+        shard = F.size(F.filter("upto", lambda x: x <= place)).cast("int")
+        return F.struct(e.cast("int").alias("epoch"), F.col("block").alias("block"), shard.alias("shard"), F.xxhash64(F.lit(seed + 1), shard, "h", e.cast("int")).alias("place"))
 
-    draws = F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0), F.col("copies") - 1), draw)).otherwise(F.array().cast("array<struct<epoch:int,block:bigint,shard:int,place:bigint>>"))
+    epochs = F.array(*(F.lit(e).cast("long") for e in range(int(np.ceil(cap)))))
     source = F.when(F.col("src") != "n", F.substring("src", 2, 2_147_483_647))
-    out = placed.withColumn("copies", copies.cast("int")).withColumn("block", block)
-    return out.select("doc_id", source.alias("source"), "h", "size", "source_size", "target", draws.alias("draws"))
+    return placed.select("doc_id", source.alias("source"), "h", "size", "source_size", "target", F.transform(F.filter(epochs, drawn), draw).cast(NO_DRAWS).alias("draws"))
 
 
 def mixed_documents(df: DataFrame, **options) -> DataFrame:
     """The documents of the mix, as often as it takes them, sorted by shard and place; columns as in df."""
     seed = options.get("seed", 17)
-    m = mix(df, **options).groupBy(F.col("doc_id").alias("__d"), F.col("h").alias("__h")).agg(F.flatten(F.collect_list("draws")).alias("__draws"), F.count("*").alias("__n"))
-    m = Scratch(df.sparkSession, "mixed").table(m.where(F.size("__draws") > 0), "draws")
-    rows = df.withColumn("__x", F.xxhash64(F.lit(seed), "doc_id", "text"))
-    if m.where("__n > 1").limit(1).count():  # repeated rows: one of them stands for the draws of all
-        rows = rows.dropDuplicates(["doc_id", "__x"])
-    j = rows.join(m, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__x") == F.col("__h")))
-    return j.withColumn("__w", F.explode("__draws")).repartitionByRange("__w.shard", "__w.place").sortWithinPartitions("__w.shard", "__w.place").select(*df.columns)
+    m = mix(df, **options).groupBy(F.col("doc_id").alias("d2"), F.col("h").alias("h2")).agg(F.flatten(F.collect_list("draws")).alias("draws"), F.count("*").alias("n"))
+    m = Scratch(df.sparkSession, "mixed").table(m.where(F.size("draws") > 0), "draws")
+    rows = packed(df, d=F.col("doc_id"), h=F.xxhash64(F.lit(seed), "doc_id", "text"))
+    if m.where("n > 1").limit(1).count():  # repeated rows: one of them stands for the draws of all
+        rows = rows.dropDuplicates(["d", "h"])
+    j = rows.join(m.hint("shuffle_hash"), F.col("d").eqNullSafe(F.col("d2")) & (F.col("h") == F.col("h2"))).select("row", F.explode("draws").alias("w"))
+    return j.repartitionByRange("w.shard", "w.place").sortWithinPartitions("w.shard", "w.place").select(*unpacked(df.columns))
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:
-    return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", (F.size("draws") * F.col("size")).cast("long").alias("taken"))
+    each = F.transform("draws", lambda x: F.concat_ws(":", x["epoch"], x["block"], x["shard"], x["place"]))
+    return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", (F.size("draws") * F.col("size")).cast("long").alias("taken"), F.array_join(each, ",").alias("draws"))
