@@ -3,17 +3,20 @@
 Texts with equal shingle sets are one class, found by a 128-bit digest, so copies are never paired. A class has
 `bands * rows` universal (multiply-shift) hash minima. In each bucket of a band, every class is compared with one
 representative: first by signature, then on the full sets. Buckets whose members then lie in several components are
-gone through again in blocks of `BLOCK` members: pairs across components whose sizes and signatures allow the
-similarity are compared on their full sets inside the block, the likeliest first, until a link joins their components.
-So no candidate pair that could join two components is left out, a task emits at most one link for each member, and
-members that the representative already joins cost one comparison.
+gone through again: what lies outside the bucket's largest component, its rest, meets that component and itself, in
+blocks of `BLOCK` members each. Pairs across components whose sizes and signatures allow the similarity are compared on
+their full sets inside the block, the likeliest first, until a link joins their components. A pair is looked at in the
+first band whose minima it shares. So no pair that shares a bucket and could join two components is left out, members
+that a representative already joins never meet each other, and a task emits at most one link for each member.
 
 A pair at similarity 0.75 meets in a bucket with probability 0.99998 (40 bands of 5 minima).
 
 Defined results: a text without words, empty or null, has no shingles and links with nothing; rows with one doc_id
 and one text are one node, so different texts under one doc_id, or under none, are linked and kept each for itself.
 A component shows its least doc_id, null only if none of its rows has one; of nodes under that doc_id the one with the
-least text hash is kept. An empty table gives an empty result.
+least text hash is kept. Very long texts are shingled whole. Ties between representatives go by a hash of the id.
+Other columns, whatever their names, are not looked at; one_of_each_group hands them on. An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import Scratch, documents
+from pagewright.llm.common import Scratch, documents, packed, unpacked
 from pagewright.llm.components import connected_components
 
 WORDS_EACH = 5
@@ -97,7 +100,7 @@ class Minima:
 
 
 def add_signatures(df: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, th, n, dg, sig and keys of df(doc_id, th, text): set size, set digest, 16-bit minima, band keys."""
+    """doc_id, th, n, dg, sig and keys of df(doc_id, th, text): set size, set digest, 32-bit minima, band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
@@ -111,7 +114,7 @@ def add_signatures(df: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataF
                 if len(x):
                     s = minima.signature(x)
                     dg.append(hashlib.blake2b(x.tobytes(), digest_size=16).digest())
-                    sig.append(s.astype(np.uint16).tobytes())
+                    sig.append(s.astype(np.uint32).tobytes())
                     keys.append(minima.keys(s))
                 else:
                     dg.append(None)
@@ -149,7 +152,7 @@ def _estimate_filter(pairs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                su, sv = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint16).reshape(b.num_rows, -1) for i in (2, 3))
+                su, sv = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint32).reshape(b.num_rows, -1) for i in (2, 3))
                 ok = pa.array((su == sv).mean(axis=1) >= LEAST_ESTIMATE)
                 yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], names=["u", "v"])
 
@@ -183,7 +186,7 @@ class Block:
         col = lambda k: t.column(k).to_numpy().astype(np.int64)
         self.m, self.i, self.j, self.band = t.num_rows, t.column(1)[0].as_py(), t.column(2)[0].as_py(), t.column(3)[0].as_py()
         self.mine, self.id, self.n, self.comp = col(4), col(5), col(6), col(7)
-        self.sig = np.frombuffer(b"".join(t.column(8).to_pylist()), np.uint16).reshape(self.m, bands, -1)
+        self.sig = np.frombuffer(b"".join(t.column(8).to_pylist()), np.uint32).reshape(self.m, bands, -1)
 
     def partners(self, x: int) -> tuple[np.ndarray, np.ndarray]:
         """Later members of other components that may link with x, and the estimates. A pair is looked at in the first
@@ -202,7 +205,7 @@ class Block:
 
 
 def _open_members(members: DataFrame, bands: int) -> DataFrame:
-    """Of members sorted by (key, i, j), those with a pair that is still open: key, i, j, id."""
+    """Of members sorted by (key, i, j), those with a pair that is still open: key, i, j, mine, id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _sorted_groups(batches):
@@ -218,9 +221,9 @@ def _open_members(members: DataFrame, bands: int) -> DataFrame:
                     open_[x] = True
                     open_[at] = True
             if open_.any():
-                yield from t.filter(pa.array(open_)).select([0, 1, 2, 5]).combine_chunks().to_batches()
+                yield from t.filter(pa.array(open_)).select([0, 1, 2, 4, 5]).combine_chunks().to_batches()
 
-    return members.mapInArrow(run, "key long, i int, j int, id long")
+    return members.mapInArrow(run, "key long, i int, j int, mine int, id long")
 
 
 def _block_links(members: DataFrame, bands: int) -> DataFrame:
@@ -319,15 +322,21 @@ class NearDuplicates:
         # buckets that still hold several components, in blocks
         with_comp = members.join(stars.select("key", "m"), "key").join(comps.select(F.col("u").alias("id"), F.col("v").alias("c")), "id", "left").withColumn("comp", F.coalesce("c", "id"))
         with_comp = s.table(with_comp.select("key", "m", "band", "id", "n", "comp"), "open-members")
-        open_keys = s.table(with_comp.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("key"), "open-keys")
-        blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-        left = with_comp.join(open_keys, "key", "left_semi").withColumn("mine", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        open_keys = with_comp.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("key")
+        opened = s.table(with_comp.join(open_keys, "key", "left_semi").drop("m"), "opened")
+        sizes = opened.groupBy("key", "comp").agg(F.count("*").alias("k")).groupBy("key").agg(F.max(F.struct("k", "comp")).alias("x"), F.sum("k").alias("m"))
+        blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+        sizes = s.table(sizes.select(F.col("key"), F.col("x.comp").alias("main"), blocks(F.col("x.k")).alias("mains"), blocks(F.col("m") - F.col("x.k")).alias("rests")), "open-keys")
+        is_main, h = F.col("comp") == F.col("main"), F.xxhash64("id")
+        mine = F.when(is_main, F.pmod(h, F.col("mains"))).otherwise(F.col("mains") + F.pmod(h, F.col("rests"))).cast("int")
+        other = F.explode(F.sequence(F.when(is_main, F.col("mains")).otherwise(0), F.col("mains") + F.col("rests") - 1))
+        left = opened.join(sizes, "key").withColumn("mine", mine).withColumn("other", other)
         left = left.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "band", "mine", "id", "n", "comp").join(by_sig, "id").select("key", "i", "j", "band", "mine", "id", "n", "comp", "sig")
         grouped = lambda df: df.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
         still = s.table(_open_members(grouped(left), BANDS), "still-open")
         if still.limit(1).count():
             sets = self.full_sets(s.table(still.select("id").distinct(), "open-ids"))
-            rows = still.join(with_comp, ["key", "id"]).withColumn("mine", F.pmod(F.xxhash64("id"), blocks).cast("int")).join(by_sig, "id").join(sets, "id")
+            rows = still.join(opened, ["key", "id"]).join(by_sig, "id").join(sets, "id")
             found = s.table(_block_links(grouped(rows.select("key", "i", "j", "band", "mine", "id", "n", "comp", "sig", "xs")), BANDS).distinct(), "block-links")
             comps = connected_components(links.union(found), scratch)
         joined = classes.join(comps.select(F.col("u").alias("id"), F.col("v").alias("c")), "id", "left").withColumn("comp", F.coalesce("c", "id"))
@@ -341,7 +350,7 @@ class NearDuplicates:
         comp = F.when(F.col("d2").isNull(), F.col("doc_id")).otherwise(F.col("comp"))
         kept = F.col("d2").isNull() | (F.col("doc_id").eqNullSafe(F.col("comp")) & F.coalesce(F.col("th") == F.col("ct"), F.lit(True)))
         out = out.select("doc_id", "th", F.col("n").alias("n_shingles"), comp.alias("component_id"), kept.alias("kept"))
-        s.drop(heads, members, stars, with_comp, open_keys)
+        s.drop(heads, members, stars, with_comp, opened, sizes)
         return out
 
 
@@ -352,11 +361,11 @@ def near_duplicates(df: DataFrame) -> DataFrame:
 
 def one_of_each_group(df: DataFrame) -> DataFrame:
     """df with one document of each group; of repeated rows of that document, one."""
-    kept = near_duplicates(df).where("kept").groupBy(F.col("doc_id").alias("__d"), F.col("th").alias("__t")).agg(F.count("*").alias("__n"))
+    kept = near_duplicates(df).where("kept").groupBy(F.col("doc_id").alias("d2"), F.col("th").alias("t2")).agg(F.count("*").alias("n"))
     kept = Scratch(df.sparkSession, "near-dedup-kept").table(kept, "kept")
-    marked = df.withColumn("__x", F.xxhash64("text"))
-    out = marked.join(kept.select("__d", "__t"), F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__x") == F.col("__t")), "left_semi")
-    return (out.dropDuplicates(["doc_id", "__x"]) if kept.where("__n > 1").limit(1).count() else out).drop("__x")
+    marked = packed(df, d=F.col("doc_id"), t=F.xxhash64("text"))
+    out = marked.join(kept.select("d2", "t2").hint("shuffle_hash"), F.col("d").eqNullSafe(F.col("d2")) & (F.col("t") == F.col("t2")), "left_semi")
+    return (out.dropDuplicates(["d", "t"]) if kept.where("n > 1").limit(1).count() else out).select(*unpacked(df.columns))
 
 
 def op1_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -166,6 +166,23 @@ def test_frames_disposal_transparency_and_interlace():
             gif.read_gif(bad)
 
 
+def test_broken_files_raise_value_errors_only():
+    rng = random.Random(12)
+    small = gif.gif_of_payload(gif.pad(b"some words of a text, some words"))
+    for _ in range(3000):
+        data = bytearray(small)
+        for _ in range(rng.randint(1, 4)):
+            data[rng.randrange(6, len(data))] = rng.randrange(256)
+        try:
+            g = gif.read_gif(bytes(data[: rng.randint(10, len(data))]))
+        except ValueError:
+            continue
+        assert sum(f.indices.size for f in g.frames) < gif.MOST_PIXELS
+    huge = small[:6] + b"\xff\xff\xff\xff" + small[10:]
+    with pytest.raises(ValueError):
+        gif.read_gif(huge)
+
+
 def test_media_columns(docs, corpus, none):
     got = rows(gif.media_features(gif.encode_texts(docs), ["doc_id", "n_bytes"]))
     by = {r["doc_id"]: r for r in got}
@@ -375,10 +392,25 @@ def test_adaptive_fences(spark, words):
     assert {r["doc_id"] for r in got if not r["kept"]} == {k for k in range(900) if k % 100 == 99}
 
 
+def test_quality_filter(spark, docs, words, none):
+    """The filter keeps whole rows; null groups have fences; equal texts of other groups are judged by their own."""
+    rng = random.Random(14)
+    text = lambda mark: " ".join(rng.choice(words) + mark * (rng.random() < 0.4) for _ in range(90))
+    data = [(k, text("#" if k % 2 else ""), None, "marked" if k % 2 else None, k) for k in range(600)]
+    odd = text("##")
+    data += [(600, odd, None, None, 0), (600, odd, None, "marked", 1), (601, "few words", None, None, 2), (602, None, None, None, 3), (None, data[0][1], None, None, 4), data[2], data[2]]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, row long")
+    left = quality.quality_filter(df)
+    assert left.columns == df.columns and quality.quality_filter(none).count() == 0
+    gone = df.exceptAll(left).collect()
+    assert {(r["doc_id"], r["row"]) for r in gone} == {(600, 0), (601, 2), (602, 3)} and left.count() == len(data) - 3
+    assert quality.quality_filter(docs).columns == docs.columns
+
+
 def test_sketch_quantiles(spark):
     values = [(1, "l", "s", 0, v, 10, 0, 0, 0, 1, 0, 0) for v in range(1, 2001)]
     df = spark.createDataFrame(values, "doc_id long, lang string, source string, text_hash long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, n_bang long")
-    rules = quality.AdaptiveRules(metrics={"x": ("n_words", "word_chars", 0.0)})
+    rules = quality.AdaptiveRules(metrics={"x": ("n_words", "word_chars", False, 0)}, min_words=0)
     q = quality.quantiles(quality.sketch(df, rules), ["lang"], rules).first()
     assert abs(q["q1"] - 50) < 1.1 and abs(q["q3"] - 150) < 3.1 and q["n_rows"] == 2000
 
@@ -453,6 +485,33 @@ def test_toxicity_held_out(spark, words, none):
     assert lang.prior == 0.0 and toxicity.add_scores(none, lang, ["doc_id"]).count() == 0
 
 
+def test_risk_and_slopes_against_a_plain_computation():
+    rng = np.random.default_rng(3)
+    log_loss = lambda z, y: float(np.log1p(np.exp(-z if y else z)))
+    seen = set()
+    for _ in range(60):
+        n_p, n_u, prior = int(rng.integers(1, 6)), int(rng.integers(1, 9)), float(rng.uniform(0.02, 0.6))
+        z = rng.normal(-1, 3, n_p + n_u)
+        plus = prior * sum(log_loss(x, True) for x in z[:n_p]) / n_p
+        minus = lambda z, p=prior, a=n_p, b=n_u: sum(log_loss(x, False) for x in z[a:]) / b - p * sum(log_loss(x, False) for x in z[:a]) / a
+        whole = lambda z, p=prior, a=n_p, m=minus: p * sum(log_loss(x, True) for x in z[:a]) / a + m(z)
+        got = toxicity.risk(z, n_p, prior)
+        assert np.allclose(got, (plus, minus(z)))
+        f = whole if minus(z) >= 0 else lambda z, m=minus: -m(z)
+        seen.add(minus(z) >= 0)
+        by_steps = [(f(z + 1e-5 * e) - f(z - 1e-5 * e)) / 2e-5 for e in np.eye(len(z))]
+        assert np.allclose(toxicity.slopes(z, n_p, prior), by_steps, atol=1e-6)
+    assert seen == {True, False}
+
+
+def test_scores_of_odd_rows(docs, corpus, none):
+    model = toxicity.Model(0.1, -2.0, {zlib.crc32(w.encode()) & ((1 << toxicity.BITS) - 1): 0.1 + k / 7 for k, w in enumerate(["one", "two", "three", "four", "a", "b", "c"])})
+    got = rows(toxicity.add_scores(docs, model, ["doc_id", "key"]))
+    want = [1 / (1 + np.exp(-(-2.0 + sum(x for w, x in zip(["one", "two", "three", "four", "a", "b", "c"], model.weights.values(), strict=True) if w in set(re.sub(r"[\W_]+", " ", (t or "").lower()).split()))))) for _, t, *_ in corpus]
+    assert np.allclose(sorted(r["score"] for r in got), sorted(want)) and {r["key"] for r in got} == {"clash"}
+    assert toxicity.add_scores(none, model, ["doc_id"]).count() == 0
+
+
 def test_labels_of_held_out_rows_are_not_used(spark, words):
     data = [(k, " ".join(words[k % 50 : k % 50 + 20])) for k in range(400)]
     docs = spark.createDataFrame(data, "doc_id long, text string")
@@ -525,23 +584,63 @@ def test_split_tree():
 
 
 def test_mix(docs, corpus, none):
-    got = rows(mixing.mix(docs, block_words=300, shards=4))
-    again = rows(mixing.mix(docs.repartition(3), block_words=300, shards=4))
-    key = lambda r: (r["doc_id"] is None, r["doc_id"], str(r))
-    assert sorted(map(str, got)) == sorted(map(str, again)) and len(got) == len(corpus) and sorted(got, key=key)
+    options = {"block_words": 300, "shards": 4}
+    got = rows(mixing.mix(docs, **options))
+    again = rows(mixing.mix(docs.repartition(3), **options))
+    assert sorted(map(str, got)) == sorted(map(str, again)) and len(got) == len(corpus)
     size = {r[0]: len(WORD.findall(r[1] or "")) for r in corpus}
-    taken, target, largest = Counter(), {}, Counter()
+    source_of = lambda r: (r[3] is None, r[3] or "")
+    totals = Counter()
+    for r in corpus:
+        totals[source_of(r)] += size[r[0]]
+    order = sorted(totals)
+    targets = dict(zip(order, mixing.fill_targets([totals[s] for s in order], [(5.0, 2.0, 1.0)[i % 3] for i in range(len(order))], 1.5, 2.0), strict=True))
+    plans = {p.src: p for p in mixing.plan_mix([("n" if s[0] else "s" + s[1], totals[s]) for s in order], mixing.WEIGHTS, 1.5, 2.0, 4, 300, 17)}
+    taken, largest = Counter(), Counter()
+    of_unit = defaultdict(set)
     for r in got:
-        assert r["size"] == size[r["doc_id"]] and len(r["draws"]) <= 2
-        assert len({(d["epoch"]) for d in r["draws"]}) == len(r["draws"])
-        taken[r["source"]] += r["size"] * len(r["draws"])
-        target[r["source"]] = r["target"]
-        largest[r["source"]] = max(largest[r["source"]], r["size"])
-    for s, t in target.items():
+        s = (r["source"] is None, r["source"] or "")
+        assert r["size"] == size[r["doc_id"]] and len(r["draws"]) <= 2 and r["source_size"] == totals[s] and r["target"] == targets[s]
+        assert [d["epoch"] for d in r["draws"]] == list(range(len(r["draws"])))
+        taken[s] += r["size"] * len(r["draws"])
+        largest[s] = max(largest[s], r["size"])
+        for d in r["draws"]:
+            of_unit[s, d["epoch"], d["block"]].add(d["shard"])
+    for s, t in targets.items():
         assert abs(taken[s] - t) <= largest[s] / 2 + 1
-    drawn = rows(mixing.mixed_documents(docs, block_words=300, shards=4))
-    assert sum(size[r["doc_id"]] for r in drawn) == sum(taken.values())
-    assert mixing.mix(none).count() == 0
+    # a unit goes to one shard, and no shard gets more units of a source than its quota
+    assert all(len(x) == 1 for x in of_unit.values())
+    units = Counter((s, *x) for (s, _, _), x in of_unit.items())
+    for s in order:
+        p = plans["n" if s[0] else "s" + s[1]]
+        quotas = np.diff(p.upto, prepend=0)
+        assert all(units[s, k] <= q for k, q in enumerate(quotas))
+        assert all(e * p.n_blocks + b < p.upto[-1] for (t, e, b) in of_unit if t == s)
+    drawn = mixing.mixed_documents(docs, **options)
+    assert drawn.columns == docs.columns
+    assert Counter(r["doc_id"] for r in drawn.select("doc_id").collect()) == Counter(r["doc_id"] for r in got for _ in r["draws"])
+    assert mixing.mix(none).count() == 0 and mixing.mixed_documents(none).count() == 0
+    with pytest.raises(ValueError, match="sources"):
+        mixing.mix(docs, most_sources=3)
+
+
+def test_mix_follows_the_tree(docs, monkeypatch):
+    """Shards' quotas decide what is drawn: a tree that gives less draws less."""
+    options = {"block_words": 300, "shards": 4}
+    tree = mixing.split_tree
+    full = sum(len(r["draws"]) for r in rows(mixing.mix(docs, **options)))
+    monkeypatch.setattr(mixing, "split_tree", lambda q, shards, rng: tree(q, shards, rng) // (2 if shards == 4 else 1))
+    assert 0.3 * full < sum(len(r["draws"]) for r in rows(mixing.mix(docs, **options))) < 0.7 * full
+
+
+def test_quotas_are_a_plain_multivariate_draw():
+    """Means and spreads of the first shard's quotas against units dealt at random."""
+    q = [40, 10, 30]
+    rng = np.random.default_rng(2)
+    tree = np.array([mixing.split_tree(q, 4, rng)[0] for _ in range(4000)])
+    cards = np.repeat([0, 1, 2], q)
+    plain = np.array([np.bincount(rng.permutation(cards)[:20], minlength=3) for _ in range(4000)])
+    assert np.abs(tree.mean(axis=0) - plain.mean(axis=0)).max() < 0.2 and np.abs(tree.std(axis=0) - plain.std(axis=0)).max() < 0.15
 
 
 # -- packing --------------------------------------------------------------------------------------------------
