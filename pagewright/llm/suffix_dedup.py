@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,8 @@ GROUP_BYTES = 4_000_000
 #: Variants of one anchor that a task sorts together at most.
 MANY = 4096
 BLOCK_BYTES = 1 << 20
+#: Anchors are gone through in so many parts, by their hash, which keeps the shuffles of each part small.
+PASSES = 2
 #: Hash values that one range holds, about.
 RANGE_VALUES = 4_000_000
 NULL_ID = -(2**63)
@@ -345,6 +348,25 @@ def cut_texts(df: DataFrame, with_text: bool) -> DataFrame:
     return df.select("docs", "digests", "ends", "texts", "spans").mapInArrow(run, "doc long, digest binary, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
+def spans_of(seg: DataFrame, s: Scratch) -> DataFrame:
+    """block and spans (i, s, e), the covered stretches, of the segments of whole anchors."""
+    variants = s.table(seg.groupBy("h", "sid").agg(F.min("doc").alias("doc"), F.first("seg").alias("seg")), "variants")
+    counts = s.table(variants.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "anchors-with-variants")
+    sorted_ = variants.join(counts.where(F.col("n") <= MANY).select("h"), "h", "left_semi").repartition("h").sortWithinPartitions("h")
+    first = [s.table(window_docs(sorted_), "solved")]
+    frequent = counts.where(F.col("n") > MANY).select("h")
+    if frequent.limit(1).count():
+        first.append(s.table(by_window(variants.join(frequent, "h", "left_semi"), s), "solved-by-window"))
+    run = F.struct(F.lit(0).alias("lo"), (F.octet_length("seg") - SPAN).cast("int").alias("hi"), F.col("doc").alias("doc"))
+    first.append(s.table(variants.join(counts, "h", "left_anti").select("h", "sid", F.array(run).alias("runs")), "alone"))
+    s.drop(variants, counts)
+    hit = seg.select("doc", "block", "i", "h", "sid", "pos").join(reduce(DataFrame.union, first), ["h", "sid"]).select("doc", "block", "i", "pos", F.explode("runs").alias("r")).where(F.col("r.doc") < F.col("doc"))
+    span = F.struct("i", (F.col("pos") + F.col("r.lo")).alias("s"), (F.col("pos") + F.col("r.hi") + SPAN).alias("e"))
+    out = s.table(hit.groupBy("block").agg(F.collect_list(span).alias("spans")), "spans")  # at most the block's own segments
+    s.drop(*first)
+    return out
+
+
 def cut_blocks(heads: DataFrame, n_bytes: int, scratch: Scratch, with_text: bool) -> DataFrame:
     """What cut_texts returns, of heads(doc, digest, text): different texts of SPAN bytes or more, n_bytes in all."""
     spark, s = heads.sparkSession, scratch
@@ -354,21 +376,12 @@ def cut_blocks(heads: DataFrame, n_bytes: int, scratch: Scratch, with_text: bool
     of_block = hot.groupBy("block").agg(F.collect_list(F.struct("r", "values")).alias("hot"))  # at most the block's own anchors
     seg = segments(stored.drop("items").join(of_block.hint("merge"), "block"), hashes).withColumn("sid", F.xxhash64("seg", "back"))
     seg = s.table(seg, "segments")
-    variants = s.table(seg.groupBy("h", "sid").agg(F.min("doc").alias("doc"), F.first("seg").alias("seg")), "variants")
-    counts = s.table(variants.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "anchors-with-variants")
-    sorted_ = variants.join(counts.where(F.col("n") <= MANY).select("h"), "h", "left_semi").repartition("h").sortWithinPartitions("h")
-    solved = s.table(window_docs(sorted_), "solved")
-    frequent = counts.where(F.col("n") > MANY).select("h")
-    if frequent.limit(1).count():
-        solved = solved.unionByName(s.table(by_window(variants.join(frequent, "h", "left_semi"), s), "solved-by-window"))
-    run = F.struct(F.lit(0).alias("lo"), (F.octet_length("seg") - SPAN).cast("int").alias("hi"), F.col("doc").alias("doc"))
-    alone = variants.join(counts, "h", "left_anti").select("h", "sid", F.array(run).alias("runs"))
-    hit = seg.select("doc", "block", "i", "h", "sid", "pos").join(solved.unionByName(alone), ["h", "sid"]).select("doc", "block", "i", "pos", F.explode("runs").alias("r")).where(F.col("r.doc") < F.col("doc"))
-    span = F.struct("i", (F.col("pos") + F.col("r.lo")).alias("s"), (F.col("pos") + F.col("r.hi") + SPAN).alias("e"))
-    spans = s.table(hit.groupBy("block").agg(F.collect_list(span).alias("spans")), "spans")  # at most the block's own segments
-    s.drop(seg, variants, counts, hot)
+    s.drop(hot)
+    parts = [spans_of(seg.where(F.pmod("h", F.lit(PASSES)) == k), s) for k in range(PASSES)]
+    spans = reduce(DataFrame.union, parts).groupBy("block").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    s.drop(seg)
     out = s.table(cut_texts(stored.drop("items").join(spans.hint("merge"), "block", "left"), with_text), "cut")
-    s.drop(stored, spans)
+    s.drop(stored, *parts)
     return out
 
 
