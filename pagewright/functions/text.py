@@ -23,6 +23,21 @@ def let(c: Column, f: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(c), f), F.lit(0))
 
 
+def quoted(s: str) -> str:
+    """s as a SQL string literal."""
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def bind(c: Column, sql: str) -> Column:
+    """let() with the function as SQL text, a lambda of one argument. Text that many columns share is parsed in one call
+    each, where building it call by call would cost most of the time that a small audit takes."""
+    return F.get(F.call_function("transform", F.array(c), F.expr(sql)), F.lit(0))
+
+
+def sql_let(value: str, name: str, body: str) -> str:
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
 def trim_ws(c: Column) -> Column:
     return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
 
@@ -36,26 +51,27 @@ def utf16_length(c: Column) -> Column:
     return (F.octet_length(F.encode(c, "UTF-16BE")) / 2).cast("long")
 
 
-def _numeric(c: Column, pattern: str, base: int) -> Column:
+def _numeric(x: str, digits: str, base: int, mark: str = "") -> str:
     """Numeric entities to characters; a number beyond the last code point becomes the replacement character."""
-    digits = F.regexp_extract_all(c, rx(pattern), F.lit(1))
-    parts = F.split(c, pattern.replace("(", "(?:"), -1)
+    pattern = f"&#{mark}({digits}+);"
+    number = f"if(length(n) <= 8, cast(conv(n, {base}, 10) AS BIGINT), NULL)"
+    char = sql_let(number, "v", "CASE WHEN v <= 1114111 AND NOT v BETWEEN 55296 AND 57343 THEN decode(unhex(lpad(hex(v), 8, '0')), 'UTF-32') ELSE '\ufffd' END")
+    parts = f"split({x}, {quoted(pattern.replace('(', '(?:'))}, -1)"
+    joined = f"array_join(zip_with({parts}, regexp_extract_all({x}, {quoted(pattern)}, 1), (p, n) -> concat(p, if(n IS NULL, '', {char}))), '')"
+    return f"if({x} RLIKE {quoted(pattern)}, {joined}, {x})"
 
-    def char(n: Column) -> Column:
-        value = F.when(F.length(n) <= 8, F.conv(n, base, 10).cast("long"))
-        ok = lambda v: (v <= 0x10FFFF) & ~v.between(0xD800, 0xDFFF)
-        return let(value, lambda v: F.when(ok(v), F.decode(F.unhex(F.lpad(F.hex(v), 8, "0")), "UTF-32")).otherwise(F.lit("\ufffd")))
 
-    joined = F.array_join(F.zip_with(parts, digits, lambda p, n: F.concat(p, F.when(n.isNull(), "").otherwise(char(n)))), "")
-    return F.when(c.rlike(pattern), joined).otherwise(c)
+def decoded(x: str) -> str:
+    """SQL of a text without entities: six named ones in a fixed order, then decimal and hexadecimal ones; what the first
+    makes, later ones see."""
+    for name, char in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " ")):
+        x = f"replace({x}, {quoted(name)}, {quoted(char)})"
+    numeric = sql_let(_numeric("y", "[0-9]", 10), "z", _numeric("z", "[0-9a-fA-F]", 16, "[xX]"))
+    return sql_let(x, "y", f"if(contains(y, '&#'), {numeric}, y)")
 
 
 def decode_entities(c: Column) -> Column:
-    """Six named entities in a fixed order, then decimal and hexadecimal ones; what the first makes, later ones see."""
-    for name, char in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " ")):
-        c = F.replace(c, F.lit(name), F.lit(char))
-    numeric = lambda x: let(_numeric(x, "&#([0-9]+);", 10), lambda y: _numeric(y, "&#[xX]([0-9a-fA-F]+);", 16))
-    return let(c, lambda x: F.when(F.contains(x, F.lit("&#")), numeric(x)).otherwise(x))
+    return bind(c, f"x -> {decoded('x')}")
 
 
 def strip_tags(c: Column) -> Column:
@@ -76,9 +92,11 @@ def body_only(html: Column) -> Column:
 
 def attribute(attrs: Column, name: str) -> Column:
     """An attribute's decoded, trimmed value; null if it is absent or has no value."""
-    raw = F.regexp_extract(attrs, rf"(?i){WS}{name}{WS}*={WS}*(\"[^\"]*\"|'[^']*'|[^{WS_CHARS}>]+)", 1)
-    inner = lambda x: F.when(x.rlike("(?s)^\".*\"$|^'.*'$"), F.substring(x, F.lit(2), F.length(x) - 2)).otherwise(x)
-    return let(raw, lambda x: F.when(x != "", trim_ws(decode_entities(inner(x)))))
+    pattern = rf"(?i){WS}{name}{WS}*={WS}*(\"[^\"]*\"|'[^']*'|[^{WS_CHARS}>]+)"
+    in_quotes = "(?s)^\".*\"$|^'.*'$"
+    inner = f"if(x RLIKE {quoted(in_quotes)}, substring(x, 2, length(x) - 2), x)"
+    trimmed = f"regexp_replace({decoded(inner)}, {quoted(f'^{WS}+|{WS}+$')}, '')"
+    return bind(attrs, "t -> " + sql_let(f"regexp_extract(t, {quoted(pattern)}, 1)", "x", f"if(x <> '', {trimmed}, NULL)"))
 
 
 def find_all(c: Column, pattern: str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pagewright.functions.text import let, trim_ws
+from pagewright.functions.text import WS, bind, let, quoted, sql_let, trim_ws
 
 ABSOLUTE = r"(?is)^(https?)://(?:[^/?#@]*@)?([^/?#:]+)(?::([0-9]*))?([^?#]*)(\?[^#]*)?(#.*)?$"
 
@@ -19,39 +19,51 @@ def is_absolute(url: Column) -> Column:
     return F.coalesce(trim_ws(url).rlike(ABSOLUTE), F.lit(False))
 
 
-def _parts(url: Column) -> Column:
-    """All parts as a struct: scheme and host in lower case, port, path, query, fragment."""
-    p = lambda u, n: F.regexp_extract(u, ABSOLUTE, n)
-    return let(trim_ws(url), lambda u: F.struct(F.lower(p(u, 1)).alias("scheme"), F.lower(p(u, 2)).alias("host"), p(u, 3).alias("port"), p(u, 4).alias("path"), p(u, 5).alias("query"), p(u, 6).alias("fragment")))
+def _parts(u: str) -> str:
+    """SQL of all parts as a struct: scheme and host in lower case, port, path, query, fragment."""
+    part_ = lambda n: f"regexp_extract(u, {quoted(ABSOLUTE)}, {n})"
+    parts = f"struct(lower({part_(1)}) AS scheme, lower({part_(2)}) AS host, {part_(3)} AS port, {part_(4)} AS path, {part_(5)} AS query, {part_(6)} AS fragment)"
+    return sql_let(_trimmed(u), "u", parts)
 
 
-def percent_encode(c: Column) -> Column:
+def _trimmed(x: str) -> str:
+    return f"regexp_replace({x}, {quoted(f'^{WS}+|{WS}+$')}, '')"
+
+
+def _percent_encode(x: str) -> str:
     """Characters outside visible ASCII, and quotes and angle brackets, as UTF-8 percent escapes."""
-    one = lambda x: F.when(x.rlike("^[!#-;=?-~]$"), x).otherwise(F.regexp_replace(F.hex(F.encode(x, "UTF-8")), "(..)", "%$1"))
-    return let(c, lambda x: F.when(x.rlike("[^!#-;=?-~]"), F.array_join(F.transform(F.split(x, ""), one), "")).otherwise(x))
+    one = "if(ch RLIKE '^[!#-;=?-~]$', ch, regexp_replace(hex(encode(ch, 'UTF-8')), '(..)', '%$1'))"
+    return sql_let(x, "x", f"if(x RLIKE '[^!#-;=?-~]', array_join(transform(split(x, ''), ch -> {one}), ''), x)")
+
+
+def percent_encode(c: Column) -> Column:
+    return bind(c, f"c -> {_percent_encode('c')}")
 
 
-def _dots(path: Column) -> Column:
+def _dots(path: str) -> str:
     """A path without . and .. segments."""
-    step = lambda acc, x: F.when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(1)))).when(x == ".", acc).otherwise(F.array_append(acc, x))
-    fold = lambda p: F.array_join(F.aggregate(F.split(p, "/", -1), F.array().cast("array<string>"), step), "/")
-    ended = lambda p: let(fold(p), lambda x: F.when(p.rlike(r"/\.\.?$") & ~x.endswith("/"), F.concat(x, F.lit("/"))).otherwise(x))
-    return let(path, lambda p: F.when(p.rlike(r"/\.\.?(/|$)"), ended(p)).otherwise(p))
+    step = "(acc, s) -> CASE WHEN s = '..' THEN slice(acc, 1, greatest(size(acc) - 1, 1)) WHEN s = '.' THEN acc ELSE array_append(acc, s) END"
+    fold = f"array_join(aggregate(split(p, '/', -1), CAST(array() AS ARRAY<STRING>), {step}), '/')"
+    dot_end, dot_part = quoted(r"/\.\.?$"), quoted(r"/\.\.?(/|$)")
+    ended = sql_let(fold, "f", f"if(p RLIKE {dot_end} AND NOT endswith(f, '/'), concat(f, '/'), f)")
+    return sql_let(path, "p", f"if(p RLIKE {dot_part}, {ended}, p)")
 
 
-def _origin(p: Column) -> Column:
-    default = (p["port"] == "") | ((p["scheme"] == "http") & (p["port"] == "80")) | ((p["scheme"] == "https") & (p["port"] == "443"))
-    return F.concat(p["scheme"], F.lit("://"), p["host"], F.when(default, "").otherwise(F.concat(F.lit(":"), p["port"])))
+def _origin(p: str) -> str:
+    default = f"{p}.port = '' OR ({p}.scheme = 'http' AND {p}.port = '80') OR ({p}.scheme = 'https' AND {p}.port = '443')"
+    return f"concat({p}.scheme, '://', {p}.host, if({default}, '', concat(':', {p}.port)))"
 
 
-def canonical_url(url: Column, fragment: bool = True) -> Column:
-    """An absolute URL as browsers write it; empty if it is none."""
+def _canonical(u: str, fragment: bool = True) -> str:
+    path = _percent_encode(_dots("if(q.path = '', '/', q.path)"))
+    tail = _percent_encode("q.fragment") if fragment else "''"
+    whole = f"concat({_origin('q')}, {path}, {_percent_encode('q.query')}, {tail})"
+    return "coalesce(" + sql_let(_parts(u), "q", f"if(q.host <> '', {whole}, '')") + ", '')"
 
-    def build(p: Column) -> Column:
-        path = percent_encode(_dots(F.when(p["path"] == "", "/").otherwise(p["path"])))
-        return F.when(p["host"] != "", F.concat(_origin(p), path, percent_encode(p["query"]), percent_encode(p["fragment"]) if fragment else F.lit(""))).otherwise("")
 
-    return F.coalesce(let(_parts(url), build), F.lit(""))
+def canonical_url(url: Column, fragment: bool = True) -> Column:
+    """An absolute URL as browsers write it; empty if it is none."""
+    return bind(url, f"c -> {_canonical('c', fragment)}")
 
 
 def normalize_url(url: Column) -> Column:
@@ -61,22 +73,16 @@ def normalize_url(url: Column) -> Column:
 
 def resolve_url(href: Column, base: Column) -> Column:
     """href against base: absolute, scheme-relative, root-relative, query, fragment, or relative to the base's folder."""
-
-    def full(h: Column, p: Column) -> Column:
-        folder = let(F.regexp_extract(p["path"], "(?s)^(.*/)", 1), lambda f: F.when(f == "", "/").otherwise(f))
-        origin = _origin(p)
-        return (
-            F.when(h.rlike("(?i)^https?://"), h)
-            .when(p["host"] == "", "")
-            .when(h.startswith("//"), F.concat(p["scheme"], F.lit(":"), h))
-            .when(h.startswith("/"), F.concat(origin, h))
-            .when(h.startswith("?"), F.concat(origin, p["path"], h))
-            .when(h.startswith("#") | (h == ""), F.concat(origin, p["path"], p["query"], h))
-            .otherwise(F.concat(origin, folder, h))
-        )
-
-    other_scheme = lambda h: h.rlike("(?i)^[a-z][a-z0-9+.-]*:") & ~h.rlike("(?i)^https?:")
-    return let(trim_ws(href), lambda h: F.when(other_scheme(h), h).otherwise(canonical_url(let(_parts(base), lambda p: full(h, p)))))
+    folder = sql_let("regexp_extract(b.path, '(?s)^(.*/)', 1)", "f", "if(f = '', '/', f)")
+    origin = _origin("b")
+    full = (
+        "CASE WHEN h RLIKE '(?i)^https?://' THEN h WHEN b.host = '' THEN '' WHEN startswith(h, '//') THEN concat(b.scheme, ':', h)"
+        f" WHEN startswith(h, '/') THEN concat({origin}, h) WHEN startswith(h, '?') THEN concat({origin}, b.path, h)"
+        f" WHEN startswith(h, '#') OR h = '' THEN concat({origin}, b.path, b.query, h) ELSE concat({origin}, {folder}, h) END"
+    )
+    whole = _canonical(sql_let(_parts("r.base"), "b", full))
+    other_scheme = "h RLIKE '(?i)^[a-z][a-z0-9+.-]*:' AND NOT h RLIKE '(?i)^https?:'"
+    return bind(F.struct(href.alias("href"), base.alias("base")), "r -> " + sql_let(_trimmed("r.href"), "h", f"if({other_scheme}, h, {whole})"))
 
 
 def site_of(url: Column) -> Column:

@@ -63,4 +63,7 @@ def site_languages(pages: DataFrame) -> DataFrame:
 
 
 def with_context(pages: DataFrame, sitemap: DataFrame | None = None) -> DataFrame:
-    return with_duplicates(with_sitemap(with_inbound(pages), sitemap)).join(site_languages(pages).select("site", "multilingual"), "site")
+    """pages with inbound_links, in_sitemap, competing and multilingual; a page without a site keeps its row."""
+    languages = site_languages(pages).select(F.col("site").alias("__s"), "multilingual")
+    j = with_duplicates(with_sitemap(with_inbound(pages), sitemap)).join(languages, F.col("site").eqNullSafe(F.col("__s")), "left").drop("__s")
+    return j.withColumn("multilingual", F.coalesce("multilingual", F.lit(False)))

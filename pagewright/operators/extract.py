@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.functions import urls
-from pagewright.functions.text import END, WS, WS_CHARS, attribute, body_only, find_all, inner_html, let, sentence_count, strip_tags, tag_attrs, trim_ws, utf16_length, visible_text, word_count
+from pagewright.functions.text import END, WS, WS_CHARS, attribute, bind, body_only, find_all, inner_html, let, sentence_count, sql_let, strip_tags, tag_attrs, trim_ws, utf16_length, visible_text, word_count
 
 HEADING = rf"(?is)<h([1-6]){END}[^>]*>.*?</h\1>"
 ANCHOR = f"(?is)<a{END}[^>]*>.*?</a>"
@@ -113,13 +113,10 @@ def field(block: Column, name: str) -> Column:
 
 def truthy(v: Column) -> Column:
     """What scripts take for true: not null, false, 0 or the empty string."""
-    zero = lambda t: F.coalesce(t.try_cast("double") == 0.0, F.lit(False))
-
-    def test(x: Column) -> Column:
-        kind, text = x["kind"], x["text"]
-        return ~((kind == "VOID") | ((kind == "BOOLEAN") & (text == "false")) | ((kind == "STRING") & (text == "")) | (kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)") & zero(text)))
-
-    return F.coalesce(let(v, lambda x: F.when(x.isNotNull(), let(F.struct(F.schema_of_variant(x).alias("kind"), x.try_cast("string").alias("text")), test))), F.lit(False))
+    zero = "coalesce(try_cast(s.text AS DOUBLE) = 0.0, false)"
+    false_ = f"s.kind = 'VOID' OR (s.kind = 'BOOLEAN' AND s.text = 'false') OR (s.kind = 'STRING' AND s.text = '') OR (s.kind RLIKE '^(BIGINT|DECIMAL|DOUBLE|FLOAT)' AND {zero})"
+    test = sql_let("struct(schema_of_variant(x) AS kind, try_cast(x AS STRING) AS text)", "s", f"NOT ({false_})")
+    return F.coalesce(bind(v, f"x -> if(x IS NOT NULL, {test}, NULL)"), F.lit(False))
 
 
 def ld_types(blocks: Column) -> Column:
