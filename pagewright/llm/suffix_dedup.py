@@ -413,3 +413,17 @@ def remove_repeats(df: DataFrame, with_text: bool = True) -> DataFrame:
 
 def op8_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir), with_text=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+OP8_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT doc_id, i, md5_number(substr(x, (2 * i + 1)::BIGINT, 100)) AS g FROM (SELECT doc_id, x, unnest(range(greatest(0, len(x) // 2 - 49))) AS i FROM d)),
+f AS (SELECT g, min(doc_id) AS m FROM w GROUP BY g),
+hit AS (SELECT doc_id, i FROM w JOIN f USING (g) WHERE m < doc_id),
+r AS (SELECT doc_id, i, sum(b) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS b FROM hit)),
+span AS (SELECT doc_id, min(i) AS s, max(i) + 50 AS e FROM r GROUP BY doc_id, k),
+piece AS (SELECT *, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS a FROM span),
+cut AS (SELECT doc_id, string_agg(substr(x, 2 * a + 1, 2 * (s - a)), '' ORDER BY s) || substr(any_value(x), 2 * max(e) + 1) AS kept, sum(e - s) AS n_removed, count(*) AS n_spans FROM piece JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, (len(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256
+FROM d LEFT JOIN cut USING (doc_id)
+"""
