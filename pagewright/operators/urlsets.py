@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from pagewright.functions.urls import host_of, normalize_url, site_of
 
-MASK = 0xFFFFFFFF
-
 
 def select_urls(pages: DataFrame, wanted: DataFrame) -> DataFrame:
     """Pages whose normalised URL is among wanted(url)."""
@@ -27,31 +25,11 @@ def choose_pages(pages: DataFrame, everything: bool = False, wanted: DataFrame |
 
 def sample_pages(pages: DataFrame, n: int = 25, seed: int = 42) -> DataFrame:
     """n pages in the order of a seeded hash of the URL: the same for any partitioning, a top-k of small rows."""
-    key = F.xxhash64(F.col("url"), F.lit(seed))
+    key = F.sha1(F.concat(F.coalesce("url", F.lit("")), F.lit(str(seed))))
     ids = pages.select("page_id", key.alias("__k")).orderBy("__k", "page_id").limit(n).select("page_id")
     return pages.join(F.broadcast(ids), "page_id", "left_semi")
 
 
-def random_stream(seed: int):
-    """A 32-bit generator of numbers in [0, 1)."""
-    a = seed & MASK
-    while True:
-        a = (a + 0x6D2B79F5) & MASK
-        t = ((a ^ (a >> 15)) * (a | 1)) & MASK
-        t ^= (t + (((t ^ (t >> 7)) * (t | 61)) & MASK)) & MASK
-        t &= MASK
-        yield (t ^ (t >> 14)) / 4294967296
-
-
-def pick_random(items: list, n: int = 25, seed: int = 42) -> list:
-    """A seeded shuffle's first n items, for lists that fit the driver."""
-    out, stream = list(items), random_stream(seed)
-    for i in range(len(out) - 1, 0, -1):
-        j = int(next(stream) * (i + 1))
-        out[i], out[j] = out[j], out[i]
-    return out[: min(n, len(out))]
-
-
 def host_filter(pages: DataFrame, hosts: list[str]) -> DataFrame:
     """Pages on allowed hosts, in any case of letters."""
     return pages.where(host_of(F.col("url")).isin([h.lower() for h in hosts]))

@@ -192,6 +192,7 @@ def oracle_queries() -> dict[str, str]:
         "page_type": page(f"{_path_type()} AS type"),
         "www_alias": page("TRUE AS is_alias, FALSE AS self_alias, host || ',' || CASE WHEN host LIKE 'www.%' THEN substr(host, 5) ELSE 'www.' || host END AS aliases"),
         "host_filter": PAGES + " SELECT page_id, url FROM p WHERE host IN (SELECT host FROM p ORDER BY page_id LIMIT 5)",
+        "sample_pages": "SELECT page_id, url FROM pages ORDER BY sha1(coalesce(url, '') || '42'), page_id LIMIT 25",
         "select_urls": PAGES + " SELECT page_id, url FROM p WHERE normal IN (SELECT normal FROM p WHERE page_id % 7 = 0)",
         "inbound_links": snap("page_id, inbound_links::BIGINT AS inbound_links FROM ctx"),
         "link_targets": snap("site, href, count(*) AS n FROM r GROUP BY ALL"),
