@@ -125,7 +125,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             df.write.mode("overwrite").parquet(f"{root}/work/{run_id}/{name}")
             return spark.read.schema(df.schema).parquet(f"{root}/work/{run_id}/{name}")
 
-        c = crawling.crawl(spark, seed, get, write, args.limit, args.depth, args.sitemap_only, args.enforce_robots)
+        c = crawling.crawl(spark, seed, get, write, args.limit, args.depth, args.sitemap_only, args.enforce_robots, seed_first=not fetch.is_local_seed(args.seed))
         pages = store.write_run("pages", c.site, run_id, c.pages)
         store.extend_url_tree(c.site, pages, run_id)
         store.update_site(c.site, last_crawl=run_id, hosts=c.hosts)

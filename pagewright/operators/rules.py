@@ -326,7 +326,9 @@ def _():
 
 @rule(36)
 def _():
-    return decide((~is_absolute(c("url")), "NEEDS_REVIEW"), (_path().rlike("(?i)" + STRATEGIC + END), "NEEDS_REVIEW"), otherwise="N/A"), say("by path")
+    relative = F.regexp_replace(F.regexp_replace(trim_ws(c("url")), r"(?s)[?#].*$|^//[^/?#]*", ""), r"^/?(\.{1,2}/)*/?", "/")
+    path = F.when(is_absolute(c("url")), _path()).otherwise(relative)
+    return decide((c("url").isNull(), "NEEDS_REVIEW"), (path.rlike("(?i)" + STRATEGIC + END), "NEEDS_REVIEW"), otherwise="N/A"), say("by path")
 
 
 MISSING_DATA = {1, 2, 3, 4}

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from pagewright.functions.text import trim_ws
+from pagewright.functions.urls import host_of
 
 MOST_SITEMAPS = 50
 
@@ -31,32 +33,31 @@ def allowed(path: Column, disallow: Column) -> Column:
     return ~F.exists(disallow, lambda d: (d != "") & path.startswith(d))
 
 
-def expand_sitemaps(files: DataFrame, roots: DataFrame, hosts: list[str], most: int = MOST_SITEMAPS) -> tuple[DataFrame, dict]:
-    """(url, ordinal) of the pages that sitemaps reachable from roots(url) list, and counters.
+def expand_sitemaps(files: DataFrame, roots: list[str], hosts: list[str], most: int = MOST_SITEMAPS) -> tuple[DataFrame, dict]:
+    """(url, ordinal) of the pages that sitemaps reachable from the roots list, and counters.
 
     files(url, body) holds what was fetched. Indexes are opened first in, first out, each URL once, `most` at most;
     pages on other hosts are dropped. A generation is one join, so a wide index costs no more steps than a small one.
+    Ordinals rise with the place of the sitemap and the place in it, with gaps.
     """
-    from pagewright.functions.urls import host_of
-
     spark = files.sparkSession
-    seen = roots.select("url").distinct()
-    frontier, pages, n, indexes = seen, None, 0, 0
+    listed = [(u, i) for i, u in enumerate(dict.fromkeys(roots))]
+    frontier = spark.createDataFrame(listed, "url string, at long").select("url", F.struct(F.lit(0).cast("long").alias("file"), F.col("at")).alias("o"))
+    seen, pages, n, indexes = frontier.select("url"), None, 0, 0
     while n < most:
-        got = frontier.join(files, "url").where("body is not null").orderBy("url").limit(most - n).select("url", sitemap_kind(F.col("body")).alias("kind"), parse_sitemap(F.col("body")).alias("locs"))
+        opened = frontier.join(files, "url").where("body is not null").orderBy("o").limit(most - n)
+        # at most `most` rows, so one window numbers them
+        got = opened.select("url", (F.row_number().over(Window.orderBy("o")) + n).cast("long").alias("file"), sitemap_kind(F.col("body")).alias("kind"), parse_sitemap(F.col("body")).alias("locs"))
         count = got.agg(F.count("*"), F.count_if(F.col("kind") == "index")).first()
         if not count[0]:
             break
         n, indexes = n + count[0], indexes + count[1]
-        locs = got.select("kind", F.col("url").alias("parent"), F.posexplode("locs").alias("pos", "url"))
-        found = locs.where("kind = 'urlset'").where(host_of(F.col("url")).isin(hosts)).select("parent", "pos", "url")
+        locs = got.select("kind", "file", F.posexplode("locs").alias("pos", "url"))
+        found = locs.where("kind = 'urlset'").where(host_of(F.col("url")).isin(hosts)).select("url", (F.shiftleft("file", 32) + F.col("pos")).alias("ordinal"))
         pages = found if pages is None else pages.unionByName(found)
-        frontier = locs.where("kind = 'index'").select("url").distinct().join(seen, "url", "left_anti")
-        seen = seen.union(frontier)
+        places = locs.where("kind = 'index'").groupBy("url").agg(F.min(F.struct("file", F.col("pos").cast("long").alias("at"))).alias("o"))
+        frontier = places.join(seen, "url", "left_anti")
+        seen = seen.union(frontier.select("url"))
     if pages is None:
         return spark.createDataFrame([], "url string, ordinal long"), {"sitemaps": n, "indexes": indexes, "entries": 0}
-    entries = pages.count()
-    first = pages.groupBy("url").agg(F.min(F.struct("parent", "pos")).alias("o"))
-    from pyspark.sql.window import Window
-
-    return first.select("url", (F.row_number().over(Window.orderBy("o")) - 1).cast("long").alias("ordinal")), {"sitemaps": n, "indexes": indexes, "entries": entries}
+    return pages.groupBy("url").agg(F.min("ordinal").alias("ordinal")), {"sitemaps": n, "indexes": indexes, "entries": pages.count()}

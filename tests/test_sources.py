@@ -62,7 +62,9 @@ def test_crawl_limit_robots_and_aliases(spark, tmp_path, write):
     W = "https://www.ex.com"
     site = {f"{A}/": (200, f"{W}/", '<body><a href="/x">x</a><a href="/y">y</a>'), f"{W}/robots.txt": (200, None, "Disallow: /x")}
     c = crawl.crawl(spark, A, routes(spark, site), write, limit=2, enforce_robots=True)
-    assert [r.url for r in c.pages.orderBy("ordinal").collect()] == [f"{A}/", f"{W}/y"] and c.hosts == ["ex.com", "www.ex.com"] and not c.warnings
+    # the queue starts at the URL that the seed leads to, with the answer already fetched
+    got = c.pages.orderBy("ordinal").collect()
+    assert [(r.url, r.status) for r in got] == [(f"{W}/", 200), (f"{W}/y", 404)] and c.stats["redirected_seed"] and c.hosts == ["ex.com", "www.ex.com"] and not c.warnings
 
     def other(df, name):
         return write(df, "other-" + name)
@@ -71,6 +73,26 @@ def test_crawl_limit_robots_and_aliases(spark, tmp_path, write):
     assert c.warnings and c.pages.count() == 1
 
 
+def test_sitemaps_open_first_in_first_out(spark, write):
+    site = {
+        f"{A}/": (200, None, "<body>home"),
+        f"{A}/robots.txt": (200, None, f"Sitemap: {A}/z.xml\nSitemap: {A}/i.xml\nSitemap: {A}/b.xml"),
+        f"{A}/z.xml": (200, None, f"<loc>{A}/z2</loc><loc>{A}/z1</loc><loc>https://o.com/q</loc>"),
+        f"{A}/i.xml": (200, None, f"<sitemapindex><loc>{A}/y.xml</loc><loc>{A}/a.xml</loc><loc>{A}/b.xml</loc></sitemapindex>"),
+        f"{A}/b.xml": (200, None, f"<loc>{A}/b1</loc><loc>{A}/z1</loc>"),
+        f"{A}/y.xml": (200, None, f"<loc>{A}/y1</loc>"),
+        f"{A}/a.xml": (200, None, f"<loc>{A}/a1</loc>"),
+    }
+    get = routes(spark, site)
+    order = ["z2", "z1", "b1", "y1", "a1"]
+    c = crawl.crawl(spark, A, get, write)
+    assert [r.url.removeprefix(A + "/") for r in c.pages.orderBy("ordinal").collect()] == ["", *order]
+    assert (c.stats["candidates"], c.stats["fetched"], c.stats["failed"], c.stats["sitemap_entries"], c.stats["sitemap_indexes"]) == (6, 6, 5, 6, 1)
+    # what the limit leaves unfetched is a candidate all the same; a local folder puts its home page last
+    c = crawl.crawl(spark, A, get, lambda df, name: write(df, "cut-" + name), limit=2, seed_first=False)
+    assert [r.url.removeprefix(A + "/") for r in c.pages.orderBy("ordinal").collect()] == order[:2] and c.stats["candidates"] == 6 and c.stats["fetched"] == 2
+
+
 def test_fetchers_never_raise(spark):
     def fetcher(url):
         if url.endswith("bad"):
