@@ -338,7 +338,7 @@ class NearDuplicates:
             sets = self.full_sets(s.table(still.select("id").distinct(), "open-ids"))
             rows = still.join(opened, ["key", "id"]).join(by_sig, "id").join(sets, "id")
             found = s.table(_block_links(grouped(rows.select("key", "i", "j", "band", "mine", "id", "n", "comp", "sig", "xs")), BANDS).distinct(), "block-links")
-            comps = connected_components(links.union(found), scratch)
+            comps = connected_components(comps.union(found), scratch)  # the stars so far stand for their links
         joined = classes.join(comps.select(F.col("u").alias("id"), F.col("v").alias("c")), "id", "left").withColumn("comp", F.coalesce("c", "id"))
         if self.doubled:
             least = joined.groupBy("comp").agg(F.min(node).alias("r"))
