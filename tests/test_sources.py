@@ -174,3 +174,11 @@ def test_streams(spark, tmp_path):
     assert {r.value for r in page_verdicts(df, known).where("check_id = 'C003' and url like '%/0'").collect()} == {"FAIL"}
     timed = page_verdicts(df).withColumn("ts", F.lit("2024-01-01 00:00:00").cast("timestamp"))
     assert windowed_failures(timed).where("check_id = 'C025'").first().n == 4
+
+
+def test_key_pages_by_relative_url(spark):
+    from pagewright.operators.rules import RULES
+
+    want = {"https://a.com/services/x": 1, "services/x": 1, "./products/": 1, "//h.com/services?x": 1, " /platform#a": 1, "blog/services": 0, "?services": 0, "": 0, "https://a.com/": 0}
+    got = spark.createDataFrame([(u,) for u in want], "url string").select("url", RULES[36]()[0].alias("v")).collect()
+    assert {r.url: r.v for r in got} == {u: "NEEDS_REVIEW" if n else "N/A" for u, n in want.items()}
