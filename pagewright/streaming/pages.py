@@ -52,9 +52,8 @@ def first_seen_stream(pages: DataFrame, sink: str, checkpoint: str):
     def write(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
         schema = "site string, url string, first_seen string, first_status int"
-        known = spark.createDataFrame([], schema)
-        for k in range(n):
-            known = known.unionByName(spark.read.schema(schema).parquet(f"{sink}/batch={k}"))
+        # one scan whatever the number of batches; a retried batch does not see itself
+        known = spark.read.schema(f"{schema}, batch int").parquet(sink).where(F.col("batch") < n).drop("batch") if n else spark.createDataFrame([], schema)
         run = batch.select(site_of(F.col("url")).alias("site"), "url", F.lit(f"{n:06d}").alias("run_id"), "status")
         merge_url_tree(known, run).where(F.col("first_seen") == f"{n:06d}").write.mode("overwrite").parquet(f"{sink}/batch={n}")
 
