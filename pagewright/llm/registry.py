@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagewright.llm import gif, line_dedup, mixing, near_dedup, oracle, packing, pii, quality, sharding, suffix_dedup, toxicity
+from pagewright.llm import gif, line_dedup, mixing, near_dedup, oracle, packing, pii, quality, resampling, sharding, suffix_dedup, toxicity
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_suffix_array_dedup": suffix_dedup.op8_suffix_array_dedup,
         "op9_mixing": mixing.op9_mixing,
         "op10_best_fit_packing": packing.op10_best_fit_packing,
+        "op11_importance_resampling": resampling.op11_importance_resampling,
         "gif_timed_frames": gif.gif_timed_frames,
     }
 
