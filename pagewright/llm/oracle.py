@@ -7,6 +7,7 @@ import math
 from pagewright.llm.line_dedup import OP6_SQL
 from pagewright.llm.quality import AdaptiveRules
 from pagewright.llm.resampling import OP11_SQL
+from pagewright.llm.search import OP13_SQL
 from pagewright.llm.suffix_dedup import OP8_SQL
 from pagewright.llm.warc import OP12_SQL
 
@@ -70,4 +71,4 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 def oracle_queries() -> dict[str, str]:
-    return {"op1_minhash_near_dedup": OP1_SQL, "op5_quality_rules": op5_sql(), "op6_line_dedup": OP6_SQL, "op8_suffix_array_dedup": OP8_SQL, "op11_importance_resampling": OP11_SQL, "op12_warc": OP12_SQL}
+    return {"op1_minhash_near_dedup": OP1_SQL, "op5_quality_rules": op5_sql(), "op6_line_dedup": OP6_SQL, "op8_suffix_array_dedup": OP8_SQL, "op11_importance_resampling": OP11_SQL, "op12_warc": OP12_SQL, "op13_ranked_search": OP13_SQL}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagewright.llm import gif, line_dedup, mixing, near_dedup, oracle, packing, pii, quality, resampling, sharding, suffix_dedup, toxicity, warc
+from pagewright.llm import gif, line_dedup, mixing, near_dedup, oracle, packing, pii, quality, resampling, search, sharding, suffix_dedup, toxicity, warc
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op10_best_fit_packing": packing.op10_best_fit_packing,
         "op11_importance_resampling": resampling.op11_importance_resampling,
         "op12_warc": warc.op12_warc,
+        "op13_ranked_search": search.op13_ranked_search,
         "gif_timed_frames": gif.gif_timed_frames,
     }
 
