@@ -6,10 +6,6 @@ second feed every aggregate, and neither regex work nor lineage is repeated.
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import tempfile
-import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,18 +17,7 @@ from pagewright.operators.context import with_context
 from pagewright.operators.extract import snapshot
 from pagewright.operators.rules import wide_verdicts
 from pagewright.operators.scoring import check_matrix, page_scores
-
-_temporary: list[str] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir, or a temporary one where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not _temporary:
-        _temporary.append("file://" + tempfile.mkdtemp(prefix="pagewright-audit-"))
-    return _temporary[0]
+from pagewright.sources.scratch import Folder
 
 
 def page_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,29 +29,19 @@ def page_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 class Audit:
     def __init__(self, pages: DataFrame):
         self.spark, self.pages = pages.sparkSession, pages
-        self.folder = f"{shared_folder(self.spark)}/pagewright/audit-{uuid.uuid4().hex}"
-        atexit.register(self.clean)
-
-    def clean(self) -> None:
-        with contextlib.suppress(Exception):
-            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-    def _written(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{self.folder}/{name}")
-        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
+        self.written = Folder(self.spark, "audit").written
 
     @cached_property
     def snapshots(self) -> DataFrame:
         # pages are CPU-heavy for their bytes, so they are spread before extraction
         n = self.spark.sparkContext.defaultParallelism
         spread = self.pages.repartition(n) if self.pages.rdd.getNumPartitions() < n else self.pages
-        return self._written(snapshot(spread).drop("html"), "snapshots")
+        return self.written(snapshot(spread).drop("html"), "snapshots")
 
     @cached_property
     def wide(self) -> DataFrame:
         """page_id, site, url, hash and one column for each check."""
-        return self._written(wide_verdicts(with_context(self.snapshots), ["page_id", "site", "url", "hash"]), "verdicts")
+        return self.written(wide_verdicts(with_context(self.snapshots), ["page_id", "site", "url", "hash"]), "verdicts")
 
     @cached_property
     def verdicts(self) -> DataFrame:

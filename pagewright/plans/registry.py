@@ -10,6 +10,7 @@ from pagewright.operators import compare, context, extract, judge, priority, rul
 from pagewright.operators.checks import CHECKS, check_id, checks_table
 from pagewright.plans.audit import audit, page_table
 from pagewright.plans.oracle import oracle_queries
+from pagewright.sources import polite
 
 c = F.col
 
@@ -115,6 +116,14 @@ def _url_tree(spark, sf):
     return urlsets.merge_url_tree(tree.dropDuplicates(["site", "url"]), run)
 
 
+def _polite_fetch(spark, sf):
+    """The whole page table, asked again from its record: what comes back, and when each host would have been asked."""
+    pages = page_table(spark, sf)
+    listed = pages.groupBy("url").agg(F.lit(200).alias("status"), F.lit("text/html").alias("content_type"), F.min_by("html", "page_id").alias("body")).withColumn("final_url", c("url"))
+    got = polite.polite_fetch(listed, polite.REPLAY, pause=0.25, hold=1_000_000)
+    return got.select("url", "status", "ok", "redirected", F.coalesce(F.length("body"), F.lit(0)).cast("long").alias("body_length"), F.round(c("asked") * 1000).cast("long").alias("asked_ms"))
+
+
 def _judgements(spark, sf):
     """Every third page's open checks are judged: as PASS, as still open, or with an error, by the number of the check."""
     v = audit(spark, sf).verdicts.withColumn("evidence", F.lit("seen"))
@@ -193,6 +202,7 @@ def queries() -> dict:
         "dedupe_canonical": _dedupe_canonical,
         "page_snapshot": _snapshot,
         **{f"check_{n:03d}": _check(n) for n, *_ in CHECKS},
+        "polite_fetch": _polite_fetch,
         "verdicts": lambda spark, sf: audit(spark, sf).verdicts.select("page_id", "check_id", "value"),
         "review_queue": _review_queue,
         "check_matrix": _matrix,

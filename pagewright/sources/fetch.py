@@ -1,12 +1,11 @@
 """Page fetching: over HTTP, or from a folder that stands for a site. Fetchers never raise; a failure is a row.
 
-A fetcher is a picklable callable: url -> (status, final_url, content_type, body). It runs on executors, one task for
-each host, so that a host sees one request at a time with a pause between requests.
+A fetcher is a picklable callable: url -> (status, final_url, content_type, body). It runs on executors. A host's URLs
+lie in one task, which asks a host for one page at a time with a pause after each answer, and other hosts meanwhile.
 """
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable, Iterator
 from pathlib import PurePosixPath
 from urllib.parse import urlsplit
@@ -15,19 +14,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.functions.urls import host_of
+from pagewright.sources.polite import FETCHED, Threads, answer, in_turn
 
 Fetcher = Callable[[str], tuple]
-FETCHED = "url string, final_url string, redirected boolean, status int, ok boolean, content_type string, body string, error string"
 LOCAL_ORIGIN = "https://local.site"
 AGENT = "pagewright/0.1"
 
 
-def http_fetcher(timeout: float = 15.0) -> Fetcher:
+#: A body beyond this many bytes is an error, so that no answer fills a task's memory.
+MOST_BYTES = 64 << 20
+
+
+def http_fetcher(timeout: float = 15.0, most: int = MOST_BYTES) -> Fetcher:
     def fetch(url: str) -> tuple:
         from urllib.request import Request, urlopen
 
         with urlopen(Request(url, headers={"User-Agent": AGENT, "Accept": "text/html,application/xhtml+xml,*/*"}), timeout=timeout) as r:
-            return r.status, r.url, r.headers.get("Content-Type", ""), r.read().decode(r.headers.get_content_charset() or "utf-8", "replace")
+            body = r.read(most + 1)
+            if len(body) > most:
+                raise ValueError(f"more than {most} bytes")
+            return r.status, r.url, r.headers.get("Content-Type", ""), body.decode(r.headers.get_content_charset() or "utf-8", "replace")
 
     return fetch
 
@@ -63,22 +69,17 @@ def fetch_from_table(urls: DataFrame, pages: DataFrame) -> DataFrame:
     return j.select(*urls.columns, final.alias("final_url"), (final != F.col("url")).alias("redirected"), status.cast("int").alias("status"), status.between(200, 299).alias("ok"), F.lit("text/html").alias("content_type"), F.coalesce("__b", F.lit("")).alias("body"), F.lit(None).cast("string").alias("error"))
 
 
-def fetch(urls: DataFrame, fetcher: Fetcher, pause: float = 0.25, tasks: int | None = None) -> DataFrame:
-    """Fetches urls(url) on the executors. A status of 0 tells a failure, with the error beside it."""
+def fetch(urls: DataFrame, fetcher: Fetcher, pause: float = 0.25, tasks: int | None = None, flights: int = 16) -> DataFrame:
+    """Fetches urls(url) on the executors, `flights` at once in a task. A status of 0 tells a failure, with the error beside it."""
 
     def run(parts: Iterator) -> Iterator:
         import pandas as pd
 
-        for pdf in parts:
-            out = []
-            for u in pdf["url"]:
-                try:
-                    status, final, kind, body = fetcher(u)
-                    out.append((u, final, final != u, status, 200 <= status < 300, kind, body, None))
-                except Exception as e:  # what servers do is data
-                    out.append((u, u, False, int(getattr(e, "code", 0) or 0), False, "", "", f"{type(e).__name__}: {e}"))
-                time.sleep(pause)
-            yield pd.DataFrame(out, columns=["url", "final_url", "redirected", "status", "ok", "content_type", "body", "error"])
+        asking = lambda u: lambda: answer(u, lambda: fetcher(u))
+        listed = ((h or "", u, asking(u)) for pdf in parts for h, u in zip(pdf["host"], pdf["url"], strict=True))
+        for _, row in in_turn(listed, Threads(flights), pause):
+            yield pd.DataFrame([row], columns=["url", "final_url", "redirected", "status", "ok", "content_type", "body", "error"])
 
     n = tasks or urls.sparkSession.sparkContext.defaultParallelism
-    return urls.select("url").repartition(n, host_of(F.col("url"))).mapInPandas(run, FETCHED)
+    # hosts are mixed within a task, so that few of them wait at once
+    return urls.select(host_of(F.col("url")).alias("host"), "url").repartition(n, "host").sortWithinPartitions(F.xxhash64("url")).mapInPandas(run, FETCHED)
