@@ -163,6 +163,20 @@ _JUDGED = V + """,
 o AS (SELECT *, value = 'NEEDS_REVIEW' AS open, value = 'NEEDS_REVIEW' AND page_id % 3 = 0 AS asked, substr(check_id, 2)::INT % 3 AS n FROM v)"""
 
 
+CRAWL = SNAP + """,
+web AS (SELECT min_by(page_id, page_id) AS page_id, normal FROM p WHERE normal <> '' GROUP BY normal),
+seed AS (SELECT site, min_by(normal, page_id) AS url, min_by(host, page_id) AS host FROM p WHERE normal <> '' GROUP BY site),
+a AS (SELECT page_id, unnest(links) AS l, unnest(range(len(links))) AS pos, regexp_extract(url, '(?i)^(https?://[^/?#]+)', 1) AS origin FROM s),
+b AS (SELECT page_id, pos, regexp_replace(CASE WHEN l.href LIKE 'http%' THEN l.href WHEN l.href LIKE '/%' THEN lower(origin) || l.href ELSE '' END, '#.*$', '') AS target FROM a WHERE NOT regexp_matches(lower(coalesce(l.rel, '')), '\\bnofollow\\b')),
+edge AS (SELECT web.normal AS url, pos, array_to_string(list_transform(string_split(target, ''), lambda c: CASE WHEN ord(c) < 128 THEN c ELSE regexp_replace(hex(encode(c)), '(..)', '%\\1', 'g') END), '') AS target, lower(regexp_extract(target, '(?i)^https?://([^/?#:]+)', 1)) AS host FROM b JOIN web USING (page_id) WHERE target <> ''),
+g0 AS (SELECT site, url, 0 AS depth, 0 AS k FROM seed),
+o1 AS (SELECT g0.site, edge.target AS url, min((k, pos)) AS o FROM g0 JOIN seed USING (site) JOIN edge ON edge.url = g0.url AND edge.host = seed.host WHERE (g0.site, edge.target) NOT IN (SELECT (site, url) FROM g0) GROUP BY ALL),
+g1 AS (SELECT site, url, 1 AS depth, row_number() OVER (PARTITION BY site ORDER BY o) AS k FROM o1),
+o2 AS (SELECT g1.site, edge.target AS url, min((k, pos)) AS o FROM g1 JOIN seed USING (site) JOIN edge ON edge.url = g1.url AND edge.host = seed.host WHERE (g1.site, edge.target) NOT IN (SELECT (site, url) FROM g0 UNION ALL SELECT (site, url) FROM g1) GROUP BY ALL),
+g2 AS (SELECT site, url, 2 AS depth, row_number() OVER (PARTITION BY site ORDER BY o) AS k FROM o2),
+g AS (SELECT * FROM g0 UNION ALL SELECT * FROM g1 UNION ALL SELECT * FROM g2)"""
+
+
 def oracle_queries() -> dict[str, str]:
     page = lambda x: f"{PAGES} SELECT page_id, {x} FROM p"
     snap = lambda x: f"{SNAP} SELECT {x}"
@@ -203,6 +217,7 @@ def oracle_queries() -> dict[str, str]:
         "page_snapshot": snap(f"page_id, title, lower(coalesce({_attr("regexp_extract(html, '(?i)<html([^>]*)>', 1)", 'lang')}, '')) AS lang, '' AS meta_robots, '' AS canonical, len(h1)::BIGINT AS h1s, len(links)::BIGINT AS links, 0::BIGINT AS images, list_count, table_count, body_length, html_length, sentences AS sentence_count, CASE WHEN sentences > 0 THEN words::DOUBLE / sentences ELSE 0 END AS average_sentence_words, interstitial FROM s"),
         **{f"check_{n:03d}": snap(f"page_id, {VERDICTS[n]} AS value FROM ctx") for n, *_ in CHECKS},
         "polite_fetch": PAGES + " SELECT url, 200 AS status, TRUE AS ok, FALSE AS redirected, length(min_by(html, page_id))::BIGINT AS body_length, ((row_number() OVER (PARTITION BY host ORDER BY sha1(url)) - 1) * 250)::BIGINT AS asked_ms FROM p GROUP BY url, host",
+        "streamed_crawl": CRAWL + " SELECT site, url, depth, row_number() OVER (PARTITION BY site ORDER BY depth, k) - 1 AS ordinal, CASE WHEN url IN (SELECT normal FROM web) THEN 200 ELSE 404 END AS status FROM g",
         "verdicts": v("page_id, check_id, value FROM v"),
         "review_queue": v("page_id, hash, check_id, severity, CASE severity WHEN 'Critical' THEN 1 WHEN 'High' THEN 2 WHEN 'Medium' THEN 3 ELSE 4 END AS severity_rank FROM v JOIN dim USING (check_id) WHERE value = 'NEEDS_REVIEW'"),
         "check_matrix": v("* FROM m"),

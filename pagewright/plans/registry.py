@@ -10,7 +10,9 @@ from pagewright.operators import compare, context, extract, judge, priority, rul
 from pagewright.operators.checks import CHECKS, check_id, checks_table
 from pagewright.plans.audit import audit, page_table
 from pagewright.plans.oracle import oracle_queries
-from pagewright.sources import polite
+from pagewright.sources import fetch, polite
+from pagewright.sources.scratch import Folder
+from pagewright.streaming.frontier import FrontierStream
 
 c = F.col
 
@@ -124,6 +126,16 @@ def _polite_fetch(spark, sf):
     return got.select("url", "status", "ok", "redirected", F.coalesce(F.length("body"), F.lit(0)).cast("long").alias("body_length"), F.round(c("asked") * 1000).cast("long").alias("asked_ms"))
 
 
+def _streamed_crawl(spark, sf):
+    """Every site of the page table crawled from its first page, two links deep, with the table as the web."""
+    pages = page_table(spark, sf).withColumn("url", ux.normalize_url(c("url"))).where("url <> ''")
+    archive = pages.groupBy("url").agg(F.min_by("html", "page_id").alias("body"), F.lit(200).alias("status")).withColumn("final_url", c("url"))
+    seeds = pages.groupBy("site").agg(F.min_by("url", "page_id").alias("url")).select("site", "url", F.lit(0).alias("ordinal"), F.array(ux.host_of(c("url"))).alias("hosts"))
+    stream = FrontierStream(spark, Folder(spark, "streamed-crawl").path, lambda urls: fetch.fetch_from_table(urls, archive), limit=100_000, wave=100_000)
+    stream.seed(seeds)
+    return stream.run().select("site", "url", "depth", "ordinal", "status")
+
+
 def _judgements(spark, sf):
     """Every third page's open checks are judged: as PASS, as still open, or with an error, by the number of the check."""
     v = audit(spark, sf).verdicts.withColumn("evidence", F.lit("seen"))
@@ -203,6 +215,7 @@ def queries() -> dict:
         "page_snapshot": _snapshot,
         **{f"check_{n:03d}": _check(n) for n, *_ in CHECKS},
         "polite_fetch": _polite_fetch,
+        "streamed_crawl": _streamed_crawl,
         "verdicts": lambda spark, sf: audit(spark, sf).verdicts.select("page_id", "check_id", "value"),
         "review_queue": _review_queue,
         "check_matrix": _matrix,
