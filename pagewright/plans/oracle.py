@@ -145,7 +145,9 @@ _DIM = "dim(check_id, ordinal, title, severity, gap_category, scope, mode, weigh
     "(" + ", ".join(_q(x) if isinstance(x, str) else str(x).upper() if isinstance(x, bool) else f"{x}::DOUBLE" if isinstance(x, float) else str(x) for x in row) + ")" for row in check_rows()
 ) + ")"
 
-V = SNAP + ",\nv AS (" + " UNION ALL ".join(f"SELECT page_id, site, url, hash, '{check_id(n)}' AS check_id, {VERDICTS[n]} AS value FROM ctx" for n, *_ in CHECKS) + "),\n" + _DIM + """,
+_ROWS = " UNION ALL ".join(f"SELECT page_id, site, url, hash, '{check_id(n)}' AS check_id, {VERDICTS[n]} AS value FROM ctx" for n, *_ in CHECKS)
+
+_REST = "),\n" + _DIM + """,
 scores AS (SELECT site, page_id, url, greatest(0, least(100, floor((100 - (sum(CASE WHEN value = 'FAIL' THEN weight ELSE 0 END) + 0.5::DOUBLE * count(*) FILTER (value = 'NEEDS_REVIEW'))) * 100 + 0.5::DOUBLE) / 100))::DOUBLE AS score FROM v JOIN dim USING (check_id) GROUP BY ALL),
 sb AS (SELECT *, CASE WHEN score >= 95 THEN 'high' WHEN score >= 90 THEN 'average' WHEN score >= 80 THEN 'low' WHEN score >= 60 THEN 'bad' ELSE 'very_bad' END AS bucket FROM scores),
 m AS (SELECT s.site, k.check_id, count(*) FILTER (v.value = 'PASS') AS pass, count(*) FILTER (v.value = 'FAIL') AS fail, count(*) FILTER (v.value = 'N/A') AS na, count(*) FILTER (v.value = 'NEEDS_REVIEW') AS needs_review
@@ -159,6 +161,11 @@ top AS (SELECT site AS competitor FROM p GROUP BY site ORDER BY count(*) DESC, s
 cmp AS (SELECT t.site AS target, k.site AS competitor, t.check_id, t.rate AS target_rate, k.rate AS competitor_rate, t.rate - k.rate AS delta, CASE WHEN t.pages < 10 OR k.pages < 10 THEN 'low' ELSE 'normal' END AS confidence
   FROM rates t JOIN top ON t.site <> top.competitor JOIN rates k ON k.site = top.competitor AND k.check_id = t.check_id)"""
 
+V = SNAP + ",\nv AS (" + _ROWS + _REST
+
+#: The same over verdicts after a judgement of every open one: as PASS, as FAIL, as still open, or with an error, by check.
+JUDGED_V = SNAP + ",\nv0 AS (" + _ROWS + "),\nv AS (SELECT * REPLACE (CASE WHEN value = 'NEEDS_REVIEW' AND substr(check_id, 2)::INT % 4 = 0 THEN 'PASS' WHEN value = 'NEEDS_REVIEW' AND substr(check_id, 2)::INT % 4 = 1 THEN 'FAIL' ELSE value END AS value) FROM v0" + _REST
+
 _JUDGED = V + """,
 o AS (SELECT *, value = 'NEEDS_REVIEW' AS open, value = 'NEEDS_REVIEW' AND page_id % 3 = 0 AS asked, substr(check_id, 2)::INT % 3 AS n FROM v)"""
 
@@ -234,6 +241,10 @@ def oracle_queries() -> dict[str, str]:
         "compare_worse": v("* FROM cmp WHERE delta >= 0.1::DOUBLE"),
         "compare_better": v("* FROM cmp WHERE delta <= -0.1::DOUBLE"),
         "compare_warnings": v("DISTINCT target, competitor FROM cmp WHERE confidence = 'low'"),
+        "rescored_matrix": JUDGED_V + " SELECT * FROM m",
+        "rescored_scores": JUDGED_V + " SELECT page_id, score, bucket FROM sb",
+        "rescored_priority": JUDGED_V + " SELECT site, check_id, fail_pct, priority, bucket, rank FROM pr",
+        "verdict_deltas": JUDGED_V + " SELECT page_id, check_id, value, sign FROM (SELECT n.page_id, n.check_id, unnest([o.value, n.value]) AS value, unnest([-1, 1]) AS sign FROM v n JOIN v0 o ON o.page_id = n.page_id AND o.check_id = n.check_id AND o.value <> n.value)",
         "url_tree_merge": PAGES + ", t AS (SELECT DISTINCT site, url FROM p WHERE page_id % 2 = 0) SELECT site, url, 'run1' AS first_seen, 200 AS first_status FROM t UNION ALL SELECT DISTINCT site, url, 'run2', 404 FROM p WHERE (site, url) NOT IN (SELECT (site, url) FROM t)",
         "apply_judgements": _JUDGED + """ SELECT page_id, check_id, CASE WHEN asked AND n = 0 THEN 'PASS' ELSE value END AS value, CASE WHEN open AND NOT (asked AND n = 2) THEN 'judge' END AS judged_by, CASE WHEN asked AND n = 0 THEN 0.9::DOUBLE END AS confidence,
           CASE WHEN asked AND n = 2 THEN 'failed' WHEN asked AND n = 0 THEN 'judged' WHEN open THEN 'unchanged' END AS outcome, CASE WHEN asked AND n = 2 THEN 'judge failed: no answer' WHEN asked THEN 'judged' WHEN open THEN 'seen (judge inconclusive)' ELSE 'seen' END AS evidence FROM o""",

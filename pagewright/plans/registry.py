@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pagewright.functions import text as tx
 from pagewright.functions import urls as ux
-from pagewright.operators import compare, context, extract, judge, priority, rules, scoring, urlsets
+from pagewright.operators import compare, context, deltas, extract, judge, priority, rules, scoring, urlsets
 from pagewright.operators.checks import CHECKS, check_id, checks_table
 from pagewright.plans.audit import audit, page_table
 from pagewright.plans.oracle import oracle_queries
@@ -144,6 +144,28 @@ def _judgements(spark, sf):
     return judge.apply_judgements(v, j.dropDuplicates(["hash", "check_id"]))
 
 
+def _second_opinion(spark, sf):
+    """All verdicts after a judgement of every open one: as PASS, as FAIL, as still open, or with an error, by check."""
+    v = audit(spark, sf).verdicts.withColumn("evidence", F.lit("seen"))
+    n = F.substring("check_id", 2, 3).cast("int") % 4
+    j = v.where("value = 'NEEDS_REVIEW'").select("hash", "check_id", F.when(n == 0, "PASS").when(n == 1, "FAIL").when(n == 2, "NEEDS_REVIEW").alias("value"), F.lit("read").alias("evidence"), F.lit("0.8").alias("confidence"), F.when(n == 3, "no answer").alias("error"))
+    return judge.apply_judgements(v, j.dropDuplicates(["hash", "check_id"]))
+
+
+def _rescored(spark, sf):
+    """The views of the audit, and then what the judgements changed folded into them."""
+    before = deltas.Views.of(audit(spark, sf).verdicts).written(Folder(spark, "views").written)
+    return before.apply(deltas.judgement_deltas(_second_opinion(spark, sf)))
+
+
+def _rescored_matrix(spark, sf):
+    return _rescored(spark, sf).check_matrix().select("site", "check_id", *(c(x).cast("long") for x in ("pass", "fail", "na", "needs_review")))
+
+
+def _rescored_priority(spark, sf):
+    return _rescored(spark, sf).ranked.select("site", "check_id", "fail_pct", "priority", "bucket", c("rank").cast("long"))
+
+
 def _bucket_counts(spark, sf):
     return scoring.bucket_counts(audit(spark, sf).scores, ["site"]).select("site", "bucket", c("pages").cast("long"))
 
@@ -215,6 +237,10 @@ def queries() -> dict:
         "page_snapshot": _snapshot,
         **{f"check_{n:03d}": _check(n) for n, *_ in CHECKS},
         "polite_fetch": _polite_fetch,
+        "rescored_matrix": _rescored_matrix,
+        "rescored_scores": lambda spark, sf: _rescored(spark, sf).scores().select("page_id", "score", "bucket"),
+        "rescored_priority": _rescored_priority,
+        "verdict_deltas": lambda spark, sf: deltas.judgement_deltas(_second_opinion(spark, sf)).select("page_id", "check_id", "value", "sign"),
         "streamed_crawl": _streamed_crawl,
         "verdicts": lambda spark, sf: audit(spark, sf).verdicts.select("page_id", "check_id", "value"),
         "review_queue": _review_queue,

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -133,8 +134,11 @@ class FrontierStream:
             asked = self._once(batch, f"requests/{n:06d}").where("kind = 'ask'").drop("kind")
         finally:
             batch.unpersist()
-        if asked.isEmpty():
-            return
+        if not asked.isEmpty():
+            with ThreadPoolExecutor(1) as own:  # a thread of its own, since parsing has deep plans and the stream's stack is in use
+                own.submit(self._answer, asked, n).result()
+
+    def _answer(self, asked: DataFrame, n: int) -> None:
         got = self.get(asked.select("url").distinct())
         pages = self._once(asked.join(got, "url"), f"pages/{n:06d}")
         base = F.coalesce("final_url", "url")
@@ -144,7 +148,7 @@ class FrontierStream:
         answers = pages.select("site", "url", "ordinal", "depth", "ok").join(lists, ["site", "ordinal"], "left")
         self._once(answers.select("site", F.lit("answer").alias("kind"), "url", "ordinal", "depth", "ok", "links", F.lit(None).cast("array<string>").alias("hosts")), f"events/{n:06d}")
 
-    def start(self, every: str = "200 milliseconds"):
+    def start(self, every: str = "1 second"):
         """The running query. State is kept by RocksDB, which the query takes from the session as it starts."""
         events = self.spark.readStream.schema(EVENT).parquet(f"{self.folder}/events/*")
         requests = events.groupBy("site").transformWithState(self.processor, REQUEST, "Append", "ProcessingTime")
@@ -180,6 +184,8 @@ class FrontierStream:
                 time.sleep(0.2)
             raise TimeoutError(f"sites are not done after {timeout} s")
         finally:
+            while query.isActive and query.status["isTriggerActive"] and time.monotonic() < end:  # not in the middle of a batch
+                time.sleep(0.02)
             query.stop()
 
     def pages(self) -> DataFrame:
