@@ -224,6 +224,7 @@ def oracle_queries() -> dict[str, str]:
         "page_snapshot": snap(f"page_id, title, lower(coalesce({_attr("regexp_extract(html, '(?i)<html([^>]*)>', 1)", 'lang')}, '')) AS lang, '' AS meta_robots, '' AS canonical, len(h1)::BIGINT AS h1s, len(links)::BIGINT AS links, 0::BIGINT AS images, list_count, table_count, body_length, html_length, sentences AS sentence_count, CASE WHEN sentences > 0 THEN words::DOUBLE / sentences ELSE 0 END AS average_sentence_words, interstitial FROM s"),
         **{f"check_{n:03d}": snap(f"page_id, {VERDICTS[n]} AS value FROM ctx") for n, *_ in CHECKS},
         "polite_fetch": PAGES + " SELECT url, 200 AS status, TRUE AS ok, FALSE AS redirected, length(min_by(html, page_id))::BIGINT AS body_length, ((row_number() OVER (PARTITION BY host ORDER BY sha1(url)) - 1) * 250)::BIGINT AS asked_ms FROM p GROUP BY url, host",
+        "streamed_site_checks": v("page_id, check_id, value FROM v WHERE check_id IN ('C003', 'C004', 'C034')"),
         "streamed_crawl": CRAWL + " SELECT site, url, depth, row_number() OVER (PARTITION BY site ORDER BY depth, k) - 1 AS ordinal, CASE WHEN url IN (SELECT normal FROM web) THEN 200 ELSE 404 END AS status FROM g",
         "verdicts": v("page_id, check_id, value FROM v"),
         "review_queue": v("page_id, hash, check_id, severity, CASE severity WHEN 'Critical' THEN 1 WHEN 'High' THEN 2 WHEN 'Medium' THEN 3 ELSE 4 END AS severity_rank FROM v JOIN dim USING (check_id) WHERE value = 'NEEDS_REVIEW'"),

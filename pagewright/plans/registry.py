@@ -12,6 +12,7 @@ from pagewright.plans.audit import audit, page_table
 from pagewright.plans.oracle import oracle_queries
 from pagewright.sources import fetch, polite
 from pagewright.sources.scratch import Folder
+from pagewright.streaming import site_checks
 from pagewright.streaming.frontier import FrontierStream
 
 c = F.col
@@ -144,6 +145,17 @@ def _judgements(spark, sf):
     return judge.apply_judgements(v, j.dropDuplicates(["hash", "check_id"]))
 
 
+def _streamed_site_checks(spark, sf):
+    """The three site-wide checks, from a stream that gets the pages in mixed order, in several batches."""
+    folder = Folder(spark, "site-checks")
+    pages = page_table(spark, sf).select("page_id", "site", "url", "html")
+    folder.written(pages.repartition(6, F.sha1("url")), "pages")
+    stream = spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder.path}/pages")
+    site_checks.site_checks_stream(stream, f"{folder.path}/said", f"{folder.path}/checkpoint").awaitTermination()
+    known = site_checks.settled(spark.read.schema(site_checks.CORRECTION).parquet(f"{folder.path}/said/*"))
+    return pages.select("page_id", "url").join(known, "url").select("page_id", "check_id", "value")
+
+
 def _second_opinion(spark, sf):
     """All verdicts after a judgement of every open one: as PASS, as FAIL, as still open, or with an error, by check."""
     v = audit(spark, sf).verdicts.withColumn("evidence", F.lit("seen"))
@@ -242,6 +254,7 @@ def queries() -> dict:
         "rescored_priority": _rescored_priority,
         "verdict_deltas": lambda spark, sf: deltas.judgement_deltas(_second_opinion(spark, sf)).select("page_id", "check_id", "value", "sign"),
         "streamed_crawl": _streamed_crawl,
+        "streamed_site_checks": _streamed_site_checks,
         "verdicts": lambda spark, sf: audit(spark, sf).verdicts.select("page_id", "check_id", "value"),
         "review_queue": _review_queue,
         "check_matrix": _matrix,
