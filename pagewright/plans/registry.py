@@ -10,7 +10,7 @@ from pagewright.operators import compare, context, deltas, extract, judge, prior
 from pagewright.operators.checks import CHECKS, check_id, checks_table
 from pagewright.plans.audit import audit, page_table
 from pagewright.plans.oracle import oracle_queries
-from pagewright.sources import fetch, polite
+from pagewright.sources import fetch, polite, seenlog
 from pagewright.sources.scratch import Folder
 from pagewright.streaming import site_checks
 from pagewright.streaming.frontier import FrontierStream
@@ -156,6 +156,15 @@ def _streamed_site_checks(spark, sf):
     return pages.select("page_id", "url").join(known, "url").select("page_id", "check_id", "value")
 
 
+def _first_seen_log(spark, sf):
+    """The page table as three runs of a crawl that goes deeper each time, the last one with all pages."""
+    log = seenlog.SeenLog(spark, Folder(spark, "seen").path, buckets=64, most=2)
+    pages = page_table(spark, sf).select("site", "url", ux.url_depth(c("url")).alias("depth"))
+    for k in (1, 2, 3):
+        log.append(pages.where(f"depth <= {k} or {k} = 3").withColumn("status", F.lit(200 + k)), f"run{k}")
+    return log.tree()
+
+
 def _second_opinion(spark, sf):
     """All verdicts after a judgement of every open one: as PASS, as FAIL, as still open, or with an error, by check."""
     v = audit(spark, sf).verdicts.withColumn("evidence", F.lit("seen"))
@@ -253,6 +262,7 @@ def queries() -> dict:
         "rescored_scores": lambda spark, sf: _rescored(spark, sf).scores().select("page_id", "score", "bucket"),
         "rescored_priority": _rescored_priority,
         "verdict_deltas": lambda spark, sf: deltas.judgement_deltas(_second_opinion(spark, sf)).select("page_id", "check_id", "value", "sign"),
+        "first_seen_log": _first_seen_log,
         "streamed_crawl": _streamed_crawl,
         "streamed_site_checks": _streamed_site_checks,
         "verdicts": lambda spark, sf: audit(spark, sf).verdicts.select("page_id", "check_id", "value"),

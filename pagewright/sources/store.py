@@ -12,9 +12,9 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.operators.urlsets import add_competitors, merge_url_tree
+from pagewright.operators.urlsets import add_competitors
+from pagewright.sources.seenlog import SeenLog
 
-TREE = "site string, url string, first_seen string, first_status int"
 COMPETITORS = "target string, competitor string, ordinal int"
 
 
@@ -100,15 +100,17 @@ class Store:
         self.write_json(f"sites/{site}.json", record)
         return record
 
+    def _seen(self, site: str) -> SeenLog:
+        return SeenLog(self.spark, f"{self.root}/url-log/{site}", buckets=16)
+
     def url_tree(self, site: str) -> DataFrame:
-        last = max((n for n in self.names(f"url-tree/{site}")), default=None)
-        return self.spark.read.schema(TREE).parquet(f"{self.root}/url-tree/{site}/{last}") if last else self.spark.createDataFrame([], TREE)
+        return self._seen(site).tree()
 
     def extend_url_tree(self, site: str, run: DataFrame, run_id: str) -> DataFrame:
-        """Adds the URLs of run(site, url, status) that the tree lacks, as a new version of it."""
-        new = merge_url_tree(self.url_tree(site), run.select("site", "url", F.lit(run_id).alias("run_id"), "status"))
-        new.write.mode("errorifexists").parquet(f"{self.root}/url-tree/{site}/{run_id}")
-        return self.url_tree(site)
+        """Adds the URLs of run(site, url, status) that the tree lacks; only these are written."""
+        log = self._seen(site)
+        log.append(run, run_id)
+        return log.tree()
 
     def competitors(self, target: str) -> list[str]:
         return (self.read_json(f"competitors/{target}.json") or {}).get("competitors", [])
