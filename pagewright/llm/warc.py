@@ -130,7 +130,8 @@ def _reached(candidates: DataFrame, scratch: Scratch) -> DataFrame:
     exits = marked.select("file", "off", F.last(F.when(F.col("leaves"), F.struct("next")), ignorenulls=True).over(back)["next"].alias("exit"))
     exits = scratch.table(exits.where("exit is not null"), "exits")
     entries = exits.select("file", F.col("exit").alias("off")).union(exits.select("file", F.lit(0).cast("long"))).distinct()
-    jumps = scratch.table(exits.join(entries, ["file", "off"]).select("file", "off", F.col("exit").alias("to")), "jumps")
+    # exits has a row for each candidate, in a file small enough to look like one to broadcast
+    jumps = scratch.table(exits.join(entries.hint("merge"), ["file", "off"]).select("file", "off", F.col("exit").alias("to")), "jumps")
     reached = scratch.table(candidates.where("off = 0 and next is not null").select("file", "off"), "reached")
     n = reached.count()
     while True:
