@@ -226,6 +226,7 @@ def oracle_queries() -> dict[str, str]:
         "polite_fetch": PAGES + " SELECT url, 200 AS status, TRUE AS ok, FALSE AS redirected, length(min_by(html, page_id))::BIGINT AS body_length, ((row_number() OVER (PARTITION BY host ORDER BY sha1(url)) - 1) * 250)::BIGINT AS asked_ms FROM p GROUP BY url, host",
         "streamed_site_checks": v("page_id, check_id, value FROM v WHERE check_id IN ('C003', 'C004', 'C034')"),
         "first_seen_log": PAGES + ", d AS (SELECT site, url, len(list_filter(string_split(path, '/'), lambda x: x <> '')) AS depth FROM p), k AS (SELECT DISTINCT site, url, CASE WHEN depth <= 1 THEN 1 WHEN depth = 2 THEN 2 ELSE 3 END AS k FROM d) SELECT site, url, 'run' || k AS first_seen, (200 + k)::INT AS first_status FROM k",
+        "latest_run": PAGES + " SELECT site, max(strftime(to_timestamp(1704067200 + page_id * 60) AT TIME ZONE 'UTC', '%Y-%m-%dT%H-%M-%S-000Z')) AS run_id, count(DISTINCT page_id)::BIGINT AS runs FROM p GROUP BY site",
         "streamed_crawl": CRAWL + " SELECT site, url, depth, row_number() OVER (PARTITION BY site ORDER BY depth, k) - 1 AS ordinal, CASE WHEN url IN (SELECT normal FROM web) THEN 200 ELSE 404 END AS status FROM g",
         "verdicts": v("page_id, check_id, value FROM v"),
         "review_queue": v("page_id, hash, check_id, severity, CASE severity WHEN 'Critical' THEN 1 WHEN 'High' THEN 2 WHEN 'Medium' THEN 3 ELSE 4 END AS severity_rank FROM v JOIN dim USING (check_id) WHERE value = 'NEEDS_REVIEW'"),

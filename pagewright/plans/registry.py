@@ -12,7 +12,7 @@ from pagewright.plans.audit import audit, page_table
 from pagewright.plans.oracle import oracle_queries
 from pagewright.sources import fetch, polite, seenlog
 from pagewright.sources.scratch import Folder
-from pagewright.streaming import site_checks
+from pagewright.streaming import runs, site_checks
 from pagewright.streaming.frontier import FrontierStream
 
 c = F.col
@@ -165,6 +165,17 @@ def _first_seen_log(spark, sf):
     return log.tree()
 
 
+def _latest_run(spark, sf):
+    """Each page as a run of its site, at as many minutes as its id says; half of the markers come twice, all in mixed order."""
+    folder = Folder(spark, "runs")
+    at = F.date_format(F.timestamp_seconds(F.lit(1_704_067_200) + c("page_id") * 60), "yyyy-MM-dd'T'HH-mm-ss-SSS'Z'")
+    commits = page_table(spark, sf).select("site", at.alias("run_id"), F.lit(1).cast("long").alias("rows"))
+    commits = commits.unionByName(commits.where("substring(run_id, 16, 1) in ('1', '3', '5', '7', '9')"))
+    commits.repartition(7, F.sha1(F.concat("run_id", "site"))).write.json(f"{folder.path}/commits/pages")
+    runs.latest_stream(spark, folder.path, "pages", f"{folder.path}/latest", f"{folder.path}/checkpoint", late="100000 days", at_once=2).awaitTermination()
+    return runs.latest_runs(spark, f"{folder.path}/latest")
+
+
 def _second_opinion(spark, sf):
     """All verdicts after a judgement of every open one: as PASS, as FAIL, as still open, or with an error, by check."""
     v = audit(spark, sf).verdicts.withColumn("evidence", F.lit("seen"))
@@ -263,6 +274,7 @@ def queries() -> dict:
         "rescored_priority": _rescored_priority,
         "verdict_deltas": lambda spark, sf: deltas.judgement_deltas(_second_opinion(spark, sf)).select("page_id", "check_id", "value", "sign"),
         "first_seen_log": _first_seen_log,
+        "latest_run": _latest_run,
         "streamed_crawl": _streamed_crawl,
         "streamed_site_checks": _streamed_site_checks,
         "verdicts": lambda spark, sf: audit(spark, sf).verdicts.select("page_id", "check_id", "value"),

@@ -67,11 +67,17 @@ class Store:
     # -- runs ---------------------------------------------------------------------------------------------
 
     def write_run(self, kind: str, site: str, run_id: str, df: DataFrame) -> DataFrame:
-        """Raises if the run is there already."""
+        """Raises if the run is there already. Its commit marker follows when all of it is written."""
         path = f"{self.root}/{kind}/site={site}/run_id={run_id}"
         df.drop("site", "run_id").write.mode("errorifexists").parquet(path)
+        self.commit(kind, site, run_id)
         return self.read_run(kind, site, run_id)
 
+    def commit(self, kind: str, site: str, run_id: str) -> None:
+        """The marker that streams of runs wait for: one row of JSON."""
+        rows = self.spark.read.parquet(f"{self.root}/{kind}/site={site}/run_id={run_id}").count()
+        self.write_text(f"commits/{kind}/{site}-{run_id}.json", json.dumps({"site": site, "run_id": run_id, "rows": rows}) + "\n")
+
     def run_ids(self, kind: str, site: str) -> list[str]:
         return [n.removeprefix("run_id=") for n in self.names(f"{kind}/site={site}") if n.startswith("run_id=")]
 
