@@ -106,14 +106,3 @@ def text_or_empty(text: str = "text") -> Column:
 def crc32_text(text: str = "text") -> Column:
     """Unsigned CRC-32 of the UTF-8 bytes; a null text counts as empty."""
     return F.crc32(text_or_empty(text).cast("binary"))
-
-
-def balanced_case(column_below, cuts: list, values: list):
-    """A binary tree of CASE expressions: values[i] for rows that lie at or above exactly i of the sorted cuts.
-
-    column_below(cut) is the condition "this row lies below the cut". Depth is log2(len(cuts)).
-    """
-    if not cuts:
-        return F.lit(values[0])
-    m = len(cuts) // 2
-    return F.when(column_below(cuts[m]), balanced_case(column_below, cuts[:m], values[: m + 1])).otherwise(balanced_case(column_below, cuts[m + 1 :], values[m + 1 :]))

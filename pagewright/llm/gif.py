@@ -268,7 +268,7 @@ def _read(data: bytes) -> Gif:
             left, top, w, h, flags = struct.unpack_from("<HHHHB", data, at + 1)
             local, at = _palette(data, at + 10, flags)
             least = data[at]
-            if not 1 <= least <= 11 or w * h > MOST_PIXELS:
+            if not 1 <= least <= 8 or w * h > MOST_PIXELS:
                 raise ValueError("a code size or a frame beyond the bound")
             body, at = _sub_blocks(data, at + 1)
             idx = lzw_decode(body, least, w * h)
@@ -385,7 +385,7 @@ def media_features(df: DataFrame, keep: list[str]) -> DataFrame:
                     rows.append((None,) * 6)
                     continue
                 payload = payload_of_gif(gif)
-                total = sum(frame_histograms(gif))
+                total = sum(frame_histograms(gif), np.zeros(64, np.int64))
                 ms = 10 * sum(f.delay for f in gif.frames)
                 feature = f"{gif.width}x{gif.height};frames={len(gif.frames)};ms={ms};hist=" + ",".join(f"{k}:{v}" for k, v in enumerate(total) if v)
                 rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), feature))

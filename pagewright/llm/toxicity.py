@@ -7,8 +7,9 @@ unlabelled texts by driving an estimated loss under zero. The class prior is the
 labelled training rows.
 
 Labels are read from training rows only: crc32 of the doc_id as text, mod 4, is not 2. Scores look at the text alone.
-The fit takes at most `positives` toxic and `unlabelled` other texts, the first in the order of a hash of doc_id;
-that bound is a documented parameter, and everything else covers all documents.
+The fit takes at most `positives` toxic and `unlabelled` other texts, the first in the order of a hash of doc_id, one
+text for each id, and of a text the first `most_features` of its hashed words in order of hash. These bounds are
+documented parameters of the fit, and everything else covers all documents and whole texts.
 
 Defined results: a null or empty text scores as a text without known words, a very long one by all of its words;
 without any toxic training row every score is the prior (0 if there are no labels). Repeated rows, or rows that share a
@@ -149,8 +150,8 @@ def fit_nnpu(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, support
 FIRST_EPOCHS, FIRST_RATE, SECOND_EPOCHS, SECOND_RATE = 400, 0.1, 1500, 1.0
 
 
-def train(df: DataFrame, labels: DataFrame, positives: int = 6000, unlabelled: int = 12000) -> Model:
-    """Fits on documents df(doc_id, text) and labels(doc_id, toxic)."""
+def train(df: DataFrame, labels: DataFrame, positives: int = 6000, unlabelled: int = 12000, most_features: int = 4096) -> Model:
+    """Fits on documents df(doc_id, text) and labels(doc_id, toxic): one text for each id, and most_features features of it."""
     known = labels.where(~held_out() & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n, toxic = known.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not toxic:
@@ -161,7 +162,10 @@ def train(df: DataFrame, labels: DataFrame, positives: int = 6000, unlabelled: i
     others = df.where(~held_out() & F.col("doc_id").isNotNull()).select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(unlabelled).withColumn("y", F.lit(0))
     # at most positives + unlabelled ids: a bounded list
     texts = df.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(pick.unionByName(others)), "doc_id")
-    got = sorted((r["y"], bytes(r["xs"])) for r in _features(texts).collect())
+    # of rows that share an id, the text with the least hash; so no id weighs more than another
+    once = texts.groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    cut = F.substring("xs", 1, 4 * most_features)
+    got = sorted((r["y"], bytes(r["xs"])) for r in _features(once).select("y", cut.alias("xs")).collect())
     rows = lambda y: [np.frombuffer(x, np.int32) for k, x in got if k == y]
     if not rows(1) or not rows(0):
         return Model(prior, float(np.log(prior / (1 - prior))), {})

@@ -197,6 +197,49 @@ def test_media_columns(docs, corpus, none):
     assert gif.media_features(gif.encode_texts(none), ["doc_id"]).count() == 0
 
 
+def test_media_and_features_against_plain_reading(docs, corpus):
+    """Every stored file, taken apart by hand: its header, its code streams by the book, and its colours counted one by one."""
+    stored = rows(gif.media_features(gif.encode_texts(docs), ["doc_id", "media"]))
+    for r in stored[::9]:
+        media = bytes(r["media"])
+        assert r["media_sha256"] == hashlib.sha256(media).hexdigest() and r["media_bytes"] == len(media)
+        width, height, flags = int.from_bytes(media[6:8], "little"), int.from_bytes(media[8:10], "little"), media[10]
+        at, palette = 13 + 3 * (2 << (flags & 7)), media[13 : 13 + 3 * (2 << (flags & 7))]
+        pixels, frames, ms = b"", 0, 0
+        while media[at] != 0x3B:
+            if media[at] == 0x21:
+                if media[at + 1] == 0xF9:
+                    ms += 10 * int.from_bytes(media[at + 4 : at + 6], "little")
+                at += 2
+            else:
+                assert media[at] == 0x2C
+                frames += 1
+                size, at, code = media[at + 10], at + 11, b""
+                while media[at]:
+                    code, at = code + media[at + 1 : at + 1 + media[at]], at + 1 + media[at]
+                pixels, at = pixels + plain_lzw(code, size), at + 1
+                continue
+            while media[at]:
+                at += 1 + media[at]
+            at += 1
+        assert r["payload_sha256"] == hashlib.sha256(pixels).hexdigest()
+        colours = Counter(sum((palette[3 * v + c] >> 6) << (4 - 2 * c) for c in range(3)) for v in pixels)
+        assert r["feature"] == f"{width}x{height};frames={frames};ms={ms};hist=" + ",".join(f"{k}:{colours[k]}" for k in sorted(colours))
+
+
+def test_a_file_without_frames_and_code_sizes_beyond_the_format(spark):
+    none = gif.write_gif([], 3, 2)
+    wide = bytearray(gif.gif_of_payload(gif.pad(b"x")))
+    at = wide.index(b"\x2c", 13 + 768)
+    wide[at + 10] = 9
+    got = rows(gif.media_features(spark.createDataFrame([(1, none), (2, bytes(wide)), (3, None)], "doc_id long, media binary"), ["doc_id"]))
+    by = {r["doc_id"]: r for r in got}
+    assert by[1]["payload_bytes"] == 0 and by[1]["feature"] == "3x2;frames=0;ms=0;hist=" and by[1]["payload_sha256"] == hashlib.sha256(b"").hexdigest()
+    assert by[2]["feature"] is None and by[3]["feature"] is None
+    frames = gif.timed_frames(spark.createDataFrame([(1, none), (1, none)], "doc_id long, media binary"), "doc_id")
+    assert frames.count() == 0 and gif.timed_frames(spark.createDataFrame([], "doc_id long, media binary"), "doc_id").count() == 0
+
+
 # -- sharding -------------------------------------------------------------------------------------------------
 
 
@@ -230,6 +273,42 @@ def test_sharding_is_even_and_splits_a_hot_text(spark):
     assert all(sorted(s) == list(range(len(s))) for s in by.values()) and len(by) == 16
 
 
+def test_shards_hold_equal_texts_together_and_in_order(spark, docs, corpus, monkeypatch):
+    want = Counter((r[0], len((r[1] or "").encode()) + 1, zlib.crc32((r[1] or "").encode())) for r in corpus)
+    for part_rows in (2_000_000, 3):
+        monkeypatch.setattr(sharding, "PART_ROWS", part_rows)
+        got = rows(sharding.shard_by_bytes(docs))
+        assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == want
+        # slots of a shard run through the hash order: a text's rows are neighbours, by doc_id, unknown ids first
+        line = sorted(got, key=lambda r: (r["shard"], r["slot"]))
+        assert [(r["shard"], r["slot"]) for r in line] == [(s, k) for s in range(16) for k in range(sum(r["shard"] == s for r in got))]
+        crcs = [r["text_crc32"] for r in line]
+        runs = [c for k, c in enumerate(crcs) if k == 0 or crcs[k - 1] != c]
+        assert len(runs) == len(set(runs))
+        for a, b in zip(line, line[1:], strict=False):
+            if a["text_crc32"] == b["text_crc32"]:
+                assert a["doc_id"] is None or (b["doc_id"] is not None and a["doc_id"] <= b["doc_id"])
+    query = sharding.shard_by_bytes(docs).collect()
+    assert {(r["doc_id"], r["shard"], r["slot"]) for r in query} == {(r["doc_id"], r["shard"], r["slot"]) for r in rows(sharding.shard_by_bytes(docs))}
+
+
+def test_thousands_of_parts(spark, monkeypatch):
+    rng = random.Random(14)
+    data = [(rng.choice([None, k, k % 50, -k, 2**62 - k]), "hot" if k % 3 == 0 else f"text {k % 1500} " * (1 + k % 5)) for k in range(5000)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    plain = rows(sharding.shard_by_bytes(df, tolerance=0.0, group_tolerance=0.0))
+    monkeypatch.setattr(sharding, "PART_ROWS", 1)
+    monkeypatch.setattr(sharding, "BINS", 1 << 12)
+    got = rows(sharding.shard_by_bytes(df, tolerance=0.0, group_tolerance=0.0))
+    key = lambda r: tuple((x is not None, x or 0) for x in (r["doc_id"], r["size"], r["text_crc32"], r["shard"], r["slot"]))
+    assert sorted(map(key, got)) == sorted(map(key, plain))
+    size = Counter()
+    for r in got:
+        size[r["shard"]] += r["size"]
+    mean = sum(size.values()) / 16
+    assert len(size) == 16 and all(abs(v - mean) <= 100 for v in size.values())  # a text is up to 50 bytes
+
+
 # -- personal data --------------------------------------------------------------------------------------------
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -485,6 +564,27 @@ def test_toxicity_held_out(spark, words, none):
     assert lang.prior == 0.0 and toxicity.add_scores(none, lang, ["doc_id"]).count() == 0
 
 
+def test_the_fit_keeps_its_bounds(spark, words, monkeypatch):
+    rng = random.Random(13)
+    data = [(k, " ".join(rng.choice(words) for _ in range(30))) for k in range(200)] + [(3, f"again {k}") for k in range(2000)] + [(k, " ".join(f"w{k}" for k in range(9000))) for k in range(1000, 1009)]
+    labels = [(k, int(k < 60)) for k in range(200)] + [(3, 1)] * 50 + [(None, 1), (5, None)]
+    seen = {}
+
+    def fit(pos, unl, prior):
+        seen.update(pos=pos, unl=unl)
+        return toxicity.Model(prior, 0.0, {})
+
+    monkeypatch.setattr(toxicity, "fit_nnpu", fit)
+    df, lab = spark.createDataFrame(data, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    learnt = {k for k in [*range(200), *range(1000, 1009)] if zlib.crc32(str(k).encode()) % 4 != 2}
+    toxicity.train(df, lab, most_features=100)
+    assert len(seen["pos"]) == len(learnt & set(range(60))) and len(seen["unl"]) == len(learnt)
+    assert max(len(x) for x in seen["pos"] + seen["unl"]) == 100
+    first = sorted(x.tobytes() for x in seen["pos"])
+    toxicity.train(df.repartition(7), lab, positives=10, unlabelled=20, most_features=100)
+    assert len(seen["pos"]) == 10 and len(seen["unl"]) == 20 and {x.tobytes() for x in seen["pos"]} <= set(first)
+
+
 def test_risk_and_slopes_against_a_plain_computation():
     rng = np.random.default_rng(3)
     log_loss = lambda z, y: float(np.log1p(np.exp(-z if y else z)))
