@@ -170,6 +170,20 @@ _JUDGED = V + """,
 o AS (SELECT *, value = 'NEEDS_REVIEW' AS open, value = 'NEEDS_REVIEW' AND page_id % 3 = 0 AS asked, substr(check_id, 2)::INT % 3 AS n FROM v)"""
 
 
+#: The whole shuffle, swap after swap, over a list of all pages: for small tables.
+SAMPLE = """
+WITH RECURSIVE l AS (SELECT list(page_id ORDER BY page_id, url) AS ids, count(*) AS n FROM pages),
+a AS (SELECT i, n, ((42 + (n - i) * 1831565813::HUGEINT) % 4294967296)::BIGINT AS a FROM l, range(1, 10000000) r(i) WHERE i < n),
+t AS (SELECT i, ((xor(a, a >> 15)::HUGEINT * (a | 1)) % 4294967296)::BIGINT AS t FROM a),
+u AS (SELECT i, xor(t, ((t + (xor(t, t >> 7)::HUGEINT * (t | 61)) % 4294967296) % 4294967296)::BIGINT) AS u FROM t),
+j AS (SELECT i, floor(xor(u, u >> 14) / 4294967296::DOUBLE * (i + 1))::BIGINT AS j FROM u),
+s(i, ids) AS (SELECT n - 1, ids FROM l UNION ALL
+  SELECT s.i - 1, CASE WHEN j.j = s.i THEN ids ELSE ids[:j.j] || [ids[s.i + 1]] || ids[j.j + 2:s.i] || [ids[j.j + 1]] || ids[s.i + 2:] END FROM s JOIN j ON j.i = s.i WHERE s.i > 0),
+e AS (SELECT ids FROM s WHERE i = 0),
+p AS (SELECT unnest(range(least(25, len(ids)))) AS place, unnest(ids[:25]) AS page_id FROM e)
+SELECT place::INT AS place, page_id, url FROM p JOIN pages USING (page_id)
+"""
+
 CRAWL = SNAP + """,
 web AS (SELECT min_by(page_id, page_id) AS page_id, normal FROM p WHERE normal <> '' GROUP BY normal),
 seed AS (SELECT site, min_by(normal, page_id) AS url, min_by(host, page_id) AS host FROM p WHERE normal <> '' GROUP BY site),
@@ -227,6 +241,9 @@ def oracle_queries() -> dict[str, str]:
         "streamed_site_checks": v("page_id, check_id, value FROM v WHERE check_id IN ('C003', 'C004', 'C034')"),
         "first_seen_log": PAGES + ", d AS (SELECT site, url, len(list_filter(string_split(path, '/'), lambda x: x <> '')) AS depth FROM p), k AS (SELECT DISTINCT site, url, CASE WHEN depth <= 1 THEN 1 WHEN depth = 2 THEN 2 ELSE 3 END AS k FROM d) SELECT site, url, 'run' || k AS first_seen, (200 + k)::INT AS first_status FROM k",
         "latest_run": PAGES + " SELECT site, max(strftime(to_timestamp(1704067200 + page_id * 60) AT TIME ZONE 'UTC', '%Y-%m-%dT%H-%M-%S-000Z')) AS run_id, count(DISTINCT page_id)::BIGINT AS runs FROM p GROUP BY site",
+        "duplicate_examples": SNAP + ", q AS (SELECT site, sig, page_id, url FROM s WHERE sig <> '|') SELECT a.page_id, count(*)::BIGINT AS others, array_to_string((list(b.url ORDER BY b.page_id))[:3], ' ') AS examples FROM q a JOIN q b ON a.site = b.site AND a.sig = b.sig AND a.url <> b.url GROUP BY a.page_id",
+        "page_ordinals": "SELECT page_id, row_number() OVER (ORDER BY url, page_id) - 1 AS ordinal FROM pages",
+        "seeded_sample": SAMPLE,
         "streamed_crawl": CRAWL + " SELECT site, url, depth, row_number() OVER (PARTITION BY site ORDER BY depth, k) - 1 AS ordinal, CASE WHEN url IN (SELECT normal FROM web) THEN 200 ELSE 404 END AS status FROM g",
         "verdicts": v("page_id, check_id, value FROM v"),
         "review_queue": v("page_id, hash, check_id, severity, CASE severity WHEN 'Critical' THEN 1 WHEN 'High' THEN 2 WHEN 'Medium' THEN 3 ELSE 4 END AS severity_rank FROM v JOIN dim USING (check_id) WHERE value = 'NEEDS_REVIEW'"),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pagewright.functions import text as tx
 from pagewright.functions import urls as ux
-from pagewright.operators import compare, context, deltas, extract, judge, priority, rules, scoring, urlsets
+from pagewright.operators import compare, context, deltas, examples, extract, judge, priority, rules, sampling, scoring, urlsets
 from pagewright.operators.checks import CHECKS, check_id, checks_table
 from pagewright.plans.audit import audit, page_table
 from pagewright.plans.oracle import oracle_queries
@@ -176,6 +176,11 @@ def _latest_run(spark, sf):
     return runs.latest_runs(spark, f"{folder.path}/latest")
 
 
+def _duplicate_examples(spark, sf):
+    e = examples.duplicate_examples(audit(spark, sf).snapshots)
+    return page_table(spark, sf).select("page_id", "site", "url").join(e, ["site", "url"]).select("page_id", "others", F.array_join("examples", " ").alias("examples"))
+
+
 def _second_opinion(spark, sf):
     """All verdicts after a judgement of every open one: as PASS, as FAIL, as still open, or with an error, by check."""
     v = audit(spark, sf).verdicts.withColumn("evidence", F.lit("seen"))
@@ -275,6 +280,9 @@ def queries() -> dict:
         "verdict_deltas": lambda spark, sf: deltas.judgement_deltas(_second_opinion(spark, sf)).select("page_id", "check_id", "value", "sign"),
         "first_seen_log": _first_seen_log,
         "latest_run": _latest_run,
+        "duplicate_examples": _duplicate_examples,
+        "page_ordinals": lambda spark, sf: sampling.with_ordinals(page_table(spark, sf).select("page_id", "url"), ["url", "page_id"]).select("page_id", "ordinal"),
+        "seeded_sample": lambda spark, sf: sampling.seeded_sample(page_table(spark, sf)).select("place", "page_id", "url"),
         "streamed_crawl": _streamed_crawl,
         "streamed_site_checks": _streamed_site_checks,
         "verdicts": lambda spark, sf: audit(spark, sf).verdicts.select("page_id", "check_id", "value"),
