@@ -1,11 +1,13 @@
-"""python -m pagewright COMMAND: crawl, analyze, priority, compare, report, competitor, status, checklist, doctor."""
+"""python -m pagewright COMMAND: crawl, analyze, judge, priority, compare, report, competitor, status, checklist, doctor."""
 
 from __future__ import annotations
 
 import argparse
 import sys
+from dataclasses import replace
+from importlib import import_module
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -26,6 +28,9 @@ def arguments() -> argparse.ArgumentParser:
     a.add_argument("--random", type=int, nargs="?", const=25)
     a.add_argument("--seed", type=int, default=42)
     a.add_argument("--thorough", action="store_true")
+    j = sub.add_parser("judge", help="settle open verdicts of the latest analysis with a function: row -> {value, evidence, confidence}")
+    j.add_argument("site")
+    j.add_argument("--with", dest="judge", required=True, metavar="MODULE:FUNCTION")
     for name in ("priority", "report"):
         r = sub.add_parser(name)
         r.add_argument("site")
@@ -73,16 +78,57 @@ def _compared(spark, store, site, others):
             parts.append(run)
     if target is None or not parts:
         return None, skipped
-    allv = target
+    columns = ["site", "url", "hash", "check_id", "value"]  # judged runs have more
+    allv = target.select(*columns)
     for x in parts:
-        allv = allv.unionByName(x)
+        allv = allv.unionByName(x.select(*columns))
     pairs = spark.createDataFrame([(site, o) for o in others if o not in skipped], "target string, competitor string")
     return compare.compare_sites(compare.fail_rates(allv), pairs), skipped
 
 
+def _store_scores(store, site: str, run_id: str, v, views):
+    """Stores what an analysis comes to: points, matrix, scores and the summary. Gives the scores."""
+    from pagewright.operators import scoring
+
+    points = store.write_run("points", site, run_id, views.points)
+    matrix = store.write_run("matrix", site, run_id, views.check_matrix())
+    scores = store.write_run("scores", site, run_id, replace(views, points=points).scores().withColumnRenamed("page_id", "hash"))
+    summary = scoring.site_summary(scores).first()
+    top = [{"check_id": r["check_id"], "fail": r["fail"], "needs_review": r["needs_review"]} for r in scoring.top_issues(matrix).collect()]
+    residual = v.where("value = 'NEEDS_REVIEW'").count()
+    store.write_json(f"analyses/{site}/{run_id}/summary.json", {**(summary.asDict() if summary else {"site": site, "pages": 0}), "residual_review": residual, "top_issues": top})
+    store.update_site(site, last_analysis=run_id)
+    return scores
+
+
+def _judge(spark, store, site: str, name: str, run_id: str) -> int:
+    """A new analysis from the latest one: open verdicts are judged, and what changes is folded into its scores."""
+    from pagewright.operators import deltas, judge, priority, scoring
+    from pagewright.operators.checks import checks_table
+
+    v, points, matrix, pages = (store.read_run(k, site) for k in ("verdicts", "points", "matrix", "pages"))
+    if v is None or points is None or matrix is None:
+        print(f"no analysis of {site}", file=sys.stderr)
+        return 1
+    module, function = name.split(":")
+    dim = F.broadcast(checks_table(spark).select("check_id", "title", "severity"))
+    queue = v.where("value = 'NEEDS_REVIEW'").join(dim, "check_id").join(pages.select("hash", "html"), "hash", "left")
+    said = store.write_run("judgements", site, run_id, judge.invoke_judge(queue.select("hash", "url", "check_id", "title", "severity", "evidence", "html"), getattr(import_module(module), function)))
+    seen = Observation("judge")
+    judged = judge.apply_judgements(v.drop(*judge.ADDED), said).observe(seen, *judge.tally_columns())
+    new = store.write_run("verdicts", site, run_id, judged)
+    points, matrix = points.drop("run_id"), matrix.drop("run_id")
+    before = deltas.Views(points, matrix, priority.priority_rows(matrix, ["site"]))
+    delta = deltas.judgement_deltas(new.withColumn("page_id", F.col("hash")))
+    _store_scores(store, site, run_id, new, before.apply(delta))
+    store.write_run("review-queue", site, run_id, scoring.review_queue(new))
+    print(seen.get)
+    return 0
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     from pagewright.functions.urls import site_of
-    from pagewright.operators import scoring
+    from pagewright.operators import deltas, examples, scoring
     from pagewright.operators.checks import checks_table
     from pagewright.operators.context import with_context
     from pagewright.operators.extract import snapshot
@@ -144,16 +190,19 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         run_id = stamp()
         snaps = with_context(snapshot(pages))
         wanted = spark.createDataFrame([(u,) for u in args.urls], "url string") if args.urls else None
-        chosen = choose_pages(snaps.withColumn("page_id", F.col("hash")), args.all, wanted, args.random, args.seed)
-        v = store.write_run("verdicts", site, run_id, verdicts(chosen, ["site", "url", "hash"], with_evidence=True))
-        scores = store.write_run("scores", site, run_id, scoring.page_scores(v, ["site", "url", "hash"]))
-        store.update_site(site, last_analysis=run_id)
+        chosen = choose_pages(snaps, args.all, wanted, args.random, args.seed, order="ordinal")
+        rivals = examples.duplicate_examples(snaps, "ordinal")
+        v = store.write_run("verdicts", site, run_id, examples.name_rivals(verdicts(chosen, ["site", "url", "hash"], with_evidence=True), rivals))
+        scores = _store_scores(store, site, run_id, v, deltas.Views.of(v.withColumn("page_id", F.col("hash"))))
+        store.write_json(f"analyses/{site}/{run_id}/input.json", {"crawl": store.latest("pages", site), "all": args.all, "urls": args.urls, "random": args.random, "seed": args.seed, "thorough": args.thorough})
         if args.thorough:
             store.write_run("review-queue", site, run_id, scoring.review_queue(v))
         print(scoring.site_summary(scores).first())
         for r in scoring.top_issues(scoring.check_matrix(v, [])).collect():
             print(r["check_id"], "failed", r["fail"], "open", r["needs_review"])
         return 0
+    if args.command == "judge":
+        return _judge(spark, store, site, args.judge, stamp())
     run_id = getattr(args, "run_id", None)
     v, scores = store.read_run("verdicts", site, run_id), store.read_run("scores", site, run_id)
     if v is None or scores is None:

@@ -26,9 +26,18 @@ def apply_judgements(verdicts: DataFrame, judgements: DataFrame, judge: str = "j
     return m.select(*kept, F.col("value").alias("heuristic_value"), F.col("evidence").alias("heuristic_evidence"), F.when(judged, F.col("__v")).otherwise(F.col("value")).alias("value"), evidence.alias("evidence"), F.when(open_ & ~failed, judge).alias("judged_by"), F.when(judged, F.col("__p")).alias("confidence"), outcome.alias("outcome"))
 
 
-def tallies(judged: DataFrame) -> DataFrame:
+#: What apply_judgements() adds; an analysis that was judged before has them, and they are made anew.
+ADDED = ["heuristic_value", "heuristic_evidence", "judged_by", "confidence", "outcome"]
+
+
+def tally_columns() -> list:
+    """judged, failed, unchanged and residual, as aggregates: of a query, or observed while one writes."""
     n = lambda x: F.count_if(F.col("outcome") == x)
-    return judged.agg(n("judged").alias("judged"), n("failed").alias("failed"), n("unchanged").alias("unchanged"), (n("failed") + n("unchanged")).alias("residual"))
+    return [n("judged").alias("judged"), n("failed").alias("failed"), n("unchanged").alias("unchanged"), (n("failed") + n("unchanged")).alias("residual")]
+
+
+def tallies(judged: DataFrame) -> DataFrame:
+    return judged.agg(*tally_columns())
 
 
 def invoke_judge(queue: DataFrame, judge: Callable[[dict], dict | None]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.functions.urls import host_of, normalize_url, site_of
+from pagewright.operators.sampling import seeded_sample
 
 
 def select_urls(pages: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -14,13 +15,13 @@ def select_urls(pages: DataFrame, wanted: DataFrame) -> DataFrame:
     return pages.withColumn("__p", normalize_url(F.col("url"))).join(w, F.col("__p") == F.col("__n"), "left_semi").drop("__p")
 
 
-def choose_pages(pages: DataFrame, everything: bool = False, wanted: DataFrame | None = None, sample: int | None = None, seed: int = 42) -> DataFrame:
-    """All pages, those of a list, or a sample, in this order of precedence; all if nothing is asked for."""
+def choose_pages(pages: DataFrame, everything: bool = False, wanted: DataFrame | None = None, sample: int | None = None, seed: int = 42, order: str = "page_id") -> DataFrame:
+    """All pages, those of a list, or a seeded sample, in this order of precedence; all if nothing is asked for."""
     if everything:
         return pages
     if wanted is not None:
         return select_urls(pages, wanted)
-    return sample_pages(pages, sample, seed) if sample else pages
+    return seeded_sample(pages, sample, seed, order).drop("place") if sample else pages
 
 
 def sample_pages(pages: DataFrame, n: int = 25, seed: int = 42) -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagewright.__main__ import main
+from pagewright.operators import judge, scoring
 from pagewright.plans import reports
 from pagewright.sources import crawl, fetch, robots
 from pagewright.sources.store import Store, stamp
@@ -117,11 +118,42 @@ def folder(tmp_path):
     return d
 
 
+def opinion(row):
+    """A judge that the command line finds by its name."""
+    assert row["title"] and row["severity"] and "<html" in row["html"]
+    if row["check_id"] == "C029":
+        raise ValueError("no answer")
+    return {"value": "FAIL" if row["check_id"] == "C015" else "PASS", "evidence": "read", "confidence": 0.5} if row["check_id"] != "C028" else None
+
+
+def _judged(spark, run, root, capsys):
+    store = Store(spark, root)
+    before, first = {(r["hash"], r["check_id"]): r["value"] for r in store.read_run("verdicts", "local.site").collect()}, store.latest("verdicts", "local.site")
+    capsys.readouterr()
+    assert run("judge", "local.site", "--with", "tests.test_sources:opinion") == 0
+    counts = json.loads(capsys.readouterr().out.strip().splitlines()[-1].replace("'", '"'))
+    v = store.read_run("verdicts", "local.site")
+    assert store.latest("verdicts", "local.site") > first
+    change = {"C015": "FAIL", "C028": "NEEDS_REVIEW", "C029": "NEEDS_REVIEW"}
+    assert {(r["hash"], r["check_id"]): r["value"] for r in v.collect()} == {k: change.get(k[1], "PASS") if x == "NEEDS_REVIEW" else x for k, x in before.items()}
+    assert counts == judge.tallies(v).first().asDict() and counts["failed"] and counts["unchanged"] and counts["judged"]
+    scores = lambda df: {(r["hash"], r["score"], r["bucket"]) for r in df.collect()}
+    assert scores(store.read_run("scores", "local.site")) == scores(scoring.page_scores(v, ["site", "url", "hash"]))
+    cells = lambda df: {(r["check_id"], r["pass"], r["fail"], r["na"], r["needs_review"]) for r in df.collect()}
+    assert cells(store.read_run("matrix", "local.site")) == cells(scoring.check_matrix(v, ["site"]))
+    latest = store.latest("verdicts", "local.site")
+    summary = store.read_json(f"analyses/local.site/{latest}/summary.json")
+    assert summary["residual_review"] == counts["residual"] == store.read_run("review-queue", "local.site").count() and summary["pages"] == 3
+    assert store.read_json(f"analyses/local.site/{first}/input.json")["thorough"] is True
+
+
 def test_command_line(spark, folder, tmp_path, capsys):
     root = str(tmp_path / "data")
     run = lambda *a: main(["--root", root, *a], spark)
     assert run("crawl", str(folder)) == 0
     assert run("analyze", "local.site", "--thorough") == 0
+    assert run("judge", "nobody.com", "--with", "tests.test_sources:opinion") == 1
+    _judged(spark, run, f"file://{root}", capsys)
     assert run("priority", "local.site") == 0 and "Rows: 35" in capsys.readouterr().out
     assert run("priority", "local.site", "--format", "json") == 0
     assert run("competitor", "local.site", "www.Other.com") == 0
