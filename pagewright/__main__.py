@@ -161,8 +161,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         run_id = stamp()
         if fetch.is_local_seed(args.seed):
             folder = args.seed.removeprefix("file://")
-            files = fetch.folder_pages(spark, folder).collect()  # a site folder: a small fixture by intent
-            table = spark.createDataFrame([(f"{fetch.LOCAL_ORIGIN}/{r['name']}", 200, f"{fetch.LOCAL_ORIGIN}/{r['name']}", r["body"]) for r in files] + local_aliases(files), "url string, status int, final_url string, body string")
+            table = fetch.local_site(fetch.folder_pages(spark, folder))
+            table.write.mode("overwrite").parquet(f"{root}/work/{run_id}/folder")
+            table = spark.read.schema(table.schema).parquet(f"{root}/work/{run_id}/folder")
             seed, get = fetch.LOCAL_ORIGIN + "/", lambda urls: fetch.fetch_from_table(urls, table)
         else:
             seed, get = args.seed, lambda urls: fetch.fetch(urls, fetch.http_fetcher()).join(urls, "url")
@@ -229,19 +230,5 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     return 0
 
 
-def local_aliases(files) -> list[tuple]:
-    """Virtual URLs of a folder's pages: without .html, and folders for their index.html."""
-    from pagewright.sources.fetch import LOCAL_ORIGIN
-
-    out = []
-    for r in files:
-        name = r["name"]
-        if name.endswith(".html"):
-            plain = name.removesuffix(".html")
-            alias = plain.removesuffix("index") if plain == "index" or plain.endswith("/index") else plain
-            out.append((f"{LOCAL_ORIGIN}/{alias}", 200, f"{LOCAL_ORIGIN}/{alias}", r["body"]))
-    return out
-
-
 if __name__ == "__main__":
     sys.exit(main())

@@ -72,8 +72,13 @@ def crawl(spark: SparkSession, seed: str, get: Callable[[DataFrame], DataFrame],
     origin = "/".join(origin)
     rules = spark.createDataFrame([(_one(spark, get, f"{origin}/robots.txt")["body"],)], "body string").select(robots.parse_robots(F.col("body")).alias("r")).first()["r"]
     roots = rules["sitemaps"] or [f"{origin}/sitemap.xml"]
-    files = _sitemap_files(spark, get, roots)
-    listed, counters = robots.expand_sitemaps(files, roots, hosts)
+
+    def sitemaps(frontier: DataFrame, n: int) -> DataFrame:
+        asked = write(frontier, f"sitemaps-asked-{n}")
+        bodies = get(asked.select("url")).select("url", F.when(F.col("ok"), F.col("body")).alias("body"))
+        return write(asked.join(bodies, "url"), f"sitemaps-{n}")
+
+    listed, counters = robots.expand_sitemaps(spark, sitemaps, roots, hosts)
     start = listed.select(normalize_url(F.col("url")).alias("url"), (F.col("ordinal") + 1).alias("ordinal"))
     if not sitemap_only:
         start = start.unionByName(spark.createDataFrame([(begin, 0 if seed_first else GENERATION - 1)], "url string, ordinal long"))
@@ -108,20 +113,3 @@ def crawl(spark: SparkSession, seed: str, get: Callable[[DataFrame], DataFrame],
     failed = pages.where("not ok").count()
     stats = {"candidates": n + past_limit, "fetched": n, "failed": failed, "seed_final_url": answer["final_url"], "redirected_seed": bool(answer["redirected"] or (final_host and final_host != host)), "hosts": hosts, "sitemaps": counters["sitemaps"], "sitemap_indexes": counters["indexes"], "sitemap_entries": counters["entries"], "generations": len(generations)}
     return Crawl(site, hosts, pages, list(rules["disallow"]), stats, warnings)
-
-
-def _sitemap_files(spark: SparkSession, get, roots: list[str], most: int = robots.MOST_SITEMAPS) -> DataFrame:
-    """url and body of the sitemaps reachable from roots, `most` at most; their number is what bounds the lists here."""
-    queue, seen, got = list(roots), set(), []
-    while queue and len(got) < most:
-        batch = [u for u in dict.fromkeys(queue) if u not in seen][: most - len(got)]
-        queue = []
-        if not batch:
-            break
-        seen.update(batch)
-        rows = get(spark.createDataFrame([(u,) for u in batch], "url string")).select("url", F.when(F.col("ok"), F.col("body")).alias("body"), robots.sitemap_kind(F.col("body")).alias("kind"), robots.parse_sitemap(F.col("body")).alias("locs")).collect()
-        for r in rows:
-            got.append((r["url"], r["body"]))
-            if r["kind"] == "index":
-                queue += r["locs"]
-    return spark.createDataFrame(got, "url string, body string")

@@ -61,6 +61,16 @@ def folder_pages(spark: SparkSession, folder: str) -> DataFrame:
     return df.select(F.substring(prefix, F.lit(len(plain) + 1), F.length(prefix)).alias("name"), F.decode("content", "UTF-8").alias("body")) if base else spark.createDataFrame([], "name string, body string")
 
 
+def local_site(files: DataFrame) -> DataFrame:
+    """url, status, final_url and body of a folder's files(name, body), under virtual URLs: also without .html, and folders for their index.html."""
+    name = F.col("name")
+    plain = F.regexp_replace(name, r"\.html$", "")
+    alias = F.when(plain.rlike("(^|/)index$"), F.regexp_replace(plain, "index$", "")).otherwise(plain)
+    names = files.select("body", F.explode(F.when(name.endswith(".html"), F.array(name, alias)).otherwise(F.array(name))).alias("at"))
+    url = F.concat(F.lit(LOCAL_ORIGIN + "/"), "at")
+    return names.select(url.alias("url"), F.lit(200).alias("status"), url.alias("final_url"), "body")
+
+
 def fetch_from_table(urls: DataFrame, pages: DataFrame) -> DataFrame:
     """Fetches urls(url) from pages(url, status, final_url, body), an archive or a folder: a join. Missing pages are 404."""
     p = pages.select(F.col("url").alias("__u"), F.col("status").alias("__s"), F.col("final_url").alias("__f"), F.col("body").alias("__b"))

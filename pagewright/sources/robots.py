@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -33,31 +35,37 @@ def allowed(path: Column, disallow: Column) -> Column:
     return ~F.exists(disallow, lambda d: (d != "") & path.startswith(d))
 
 
-def expand_sitemaps(files: DataFrame, roots: list[str], hosts: list[str], most: int = MOST_SITEMAPS) -> tuple[DataFrame, dict]:
+def expand_sitemaps(spark: SparkSession, fetched: Callable[[DataFrame, int], DataFrame], roots: list[str], hosts: list[str], most: int = MOST_SITEMAPS) -> tuple[DataFrame, dict]:
     """(url, ordinal) of the pages that sitemaps reachable from the roots list, and counters.
 
-    files(url, body) holds what was fetched. Indexes are opened first in, first out, each URL once, `most` at most;
-    pages on other hosts are dropped. A generation is one join, so a wide index costs no more steps than a small one.
-    Ordinals rise with the place of the sitemap and the place in it, with gaps.
+    fetched(frontier, n) gives the n-th generation's frontier(url, o) with a column body, null where there is none, as a
+    written table; bodies stay in it, and the driver sees counts alone. Indexes are opened first in, first out, each URL
+    once, `most` at most; pages on other hosts are dropped. A generation is one table, so a wide index costs no more
+    steps than a small one. Ordinals rise with the place of the sitemap and the place in it, with gaps.
     """
-    spark = files.sparkSession
     listed = [(u, i) for i, u in enumerate(dict.fromkeys(roots))]
     frontier = spark.createDataFrame(listed, "url string, at long").select("url", F.struct(F.lit(0).cast("long").alias("file"), F.col("at")).alias("o"))
-    seen, pages, n, indexes = frontier.select("url"), None, 0, 0
+    seen, pages, n, opened, indexes, generation = frontier.select("url"), None, 0, 0, 0, 0
     while n < most:
-        opened = frontier.join(files, "url").where("body is not null").orderBy("o").limit(most - n)
-        # at most `most` rows, so one window numbers them
-        got = opened.select("url", (F.row_number().over(Window.orderBy("o")) + n).cast("long").alias("file"), sitemap_kind(F.col("body")).alias("kind"), parse_sitemap(F.col("body")).alias("locs"))
-        count = got.agg(F.count("*"), F.count_if(F.col("kind") == "index")).first()
-        if not count[0]:
+        got = fetched(frontier.orderBy("o").limit(most - n), generation)
+        generation += 1
+        asked, there, index = got.agg(F.count("*"), F.count_if(F.col("body") != ""), F.count_if((F.col("body") != "") & (sitemap_kind(F.col("body")) == "index"))).first()
+        if not asked:
             break
-        n, indexes = n + count[0], indexes + count[1]
-        locs = got.select("kind", "file", F.posexplode("locs").alias("pos", "url"))
-        found = locs.where("kind = 'urlset'").where(host_of(F.col("url")).isin(hosts)).select("url", (F.shiftleft("file", 32) + F.col("pos")).alias("ordinal"))
+        # at most `most` rows, so one window numbers them
+        numbered = got.where("body <> ''").select((F.row_number().over(Window.orderBy("o")) + n).cast("long").alias("file"), sitemap_kind(F.col("body")).alias("kind"), parse_sitemap(F.col("body")).alias("locs"))
+        read = numbered.select("file", "kind", F.posexplode("locs").alias("pos", "url"))
+        n, opened, indexes = n + asked, opened + there, indexes + index
+        found = read.where("kind = 'urlset'").where(host_of(F.col("url")).isin(hosts)).select("url", (F.shiftleft("file", 32) + F.col("pos")).alias("ordinal"))
         pages = found if pages is None else pages.unionByName(found)
-        places = locs.where("kind = 'index'").groupBy("url").agg(F.min(F.struct("file", F.col("pos").cast("long").alias("at"))).alias("o"))
+        places = read.where("kind = 'index'").groupBy("url").agg(F.min(F.struct("file", F.col("pos").cast("long").alias("at"))).alias("o"))
         frontier = places.join(seen, "url", "left_anti")
         seen = seen.union(frontier.select("url"))
     if pages is None:
-        return spark.createDataFrame([], "url string, ordinal long"), {"sitemaps": n, "indexes": indexes, "entries": 0}
-    return pages.groupBy("url").agg(F.min("ordinal").alias("ordinal")), {"sitemaps": n, "indexes": indexes, "entries": pages.count()}
+        return spark.createDataFrame([], "url string, ordinal long"), {"sitemaps": opened, "asked": n, "indexes": indexes, "entries": 0}
+    return pages.groupBy("url").agg(F.min("ordinal").alias("ordinal")), {"sitemaps": opened, "asked": n, "indexes": indexes, "entries": pages.count()}
+
+
+def from_table(files: DataFrame) -> Callable[[DataFrame, int], DataFrame]:
+    """fetched for expand_sitemaps(), from a table files(url, body) of what is at hand."""
+    return lambda frontier, n: frontier.join(files.select("url", "body"), "url", "left")
