@@ -40,7 +40,7 @@ def batch(spark):
     return {(r["url"], r["check_id"], r["value"]) for r in verdicts(with_context(snap), ["url"]).where("check_id in ('C003', 'C004', 'C034')").collect()}
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_any_order_ends_like_the_batch_audit(spark, tmp_path, seed):
     rows = list(PAGES)
     random.Random(seed).shuffle(rows)
