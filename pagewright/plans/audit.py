@@ -29,7 +29,8 @@ def page_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 class Audit:
     def __init__(self, pages: DataFrame):
         self.spark, self.pages = pages.sparkSession, pages
-        self.written = Folder(self.spark, "audit").written
+        self.folder = Folder(self.spark, "audit")
+        self.written, self.clean = self.folder.written, self.folder.clean
 
     @cached_property
     def snapshots(self) -> DataFrame:
