@@ -177,8 +177,9 @@ def _latest_run(spark, sf):
 
 
 def _duplicate_examples(spark, sf):
-    e = examples.duplicate_examples(audit(spark, sf).snapshots)
-    return page_table(spark, sf).select("page_id", "site", "url").join(e, ["site", "url"]).select("page_id", "others", F.array_join("examples", " ").alias("examples"))
+    pages = audit(spark, sf).snapshots
+    marked = pages.select("page_id", "site", "url", context.signature().alias("signature"))
+    return marked.join(examples.duplicate_examples(pages), ["site", "url", "signature"]).select("page_id", "others", F.array_join("examples", " ").alias("examples"))
 
 
 def _second_opinion(spark, sf):

@@ -69,3 +69,19 @@ def test_examples_of_a_large_group(spark):
     v = spark.createDataFrame([("a.com", first[0], "C003", "FAIL", "x"), ("a.com", first[0], "C004", "FAIL", "y"), ("b.com", "https://b.com/1", "C003", "PASS", "z")], "site string, url string, check_id string, value string, evidence string")
     said = {(r["site"], r["check_id"]): r["evidence"] for r in examples.name_rivals(v, e).collect()}
     assert said["a.com", "C003"] == f"same title and main heading on {n - 1} other pages: {', '.join(first[1:4])}" and said["a.com", "C004"] == "y" and said["b.com", "C003"] == "z"
+
+
+def test_examples_where_urls_come_again(spark):
+    # page_id, URL and title: u comes often with one title, and once with another; v comes twice with one
+    rows = [(k, "u", "A") for k in range(9)] + [(9, "v", "A"), (10, "w", "A"), (11, "v", "A"), (12, "x", "A"), (13, "u", "B"), (14, "x", "B"), (15, "v", "C"), (16, "y", None)]
+    df = spark.createDataFrame([(p, "s.com", u, t, ["H"] if t else None) for p, u, t in rows], "page_id long, site string, url string, title string, h1 array<string>").repartition(3)
+    got = {(r["url"], r["signature"]): (r["others"], r["examples"]) for r in examples.duplicate_examples(df).collect()}
+    want = {}
+    for _, u, t in rows:
+        rest = [x for _, x, s in rows if s == t and x != u]
+        if t and rest:
+            want[u, f"{t.lower()}|h"] = (len(rest), rest[:3])
+    assert got == want and got["u", "a|h"] == (4, ["v", "w", "v"]) and got["v", "a|h"] == (11, ["u", "u", "u"])
+    v = spark.createDataFrame([("s.com", "u", "C003", "FAIL", "x")], "site string, url string, check_id string, value string, evidence string")
+    said = examples.name_rivals(v, examples.duplicate_examples(df)).collect()
+    assert [r["evidence"] for r in said] == ["same title and main heading on 4 other pages: v, w, v"]
