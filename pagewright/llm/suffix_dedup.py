@@ -47,6 +47,8 @@ MANY = 4096
 BLOCK_BYTES = 1 << 20
 #: Anchors are gone through in so many parts, by their hash, which keeps the shuffles of each part small.
 PASSES = 2
+#: Bytes whose hashes are worked on together, so that they stay in a core's cache.
+STEP = 1 << 15
 #: Hash values that one range holds, about.
 RANGE_VALUES = 4_000_000
 NULL_ID = -(2**63)
@@ -68,16 +70,27 @@ def gram_hashes(x: np.ndarray) -> np.ndarray:
     return h
 
 
+def _hashes_and_minima(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each gram and the least one of each window."""
+    n = len(x) - GRAM + 1
+    h, s = np.empty(n, np.uint64), np.empty(n - OWNERS + 1, np.uint64)
+    for a in range(0, len(s), STEP):
+        part = gram_hashes(x[a : a + STEP + SPAN - 1])
+        h[a : a + len(part)] = part
+        w = 1
+        while 2 * w <= OWNERS:
+            part = np.minimum(part[:-w], part[w:])
+            w *= 2
+        if OWNERS > w:
+            part = np.minimum(part[: len(part) - (OWNERS - w)], part[OWNERS - w :])
+        s[a : a + len(part)] = part
+    return h, s
+
+
 def anchors(x: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     """Anchors of texts that stand one after another in x and end at `ends`, each of SPAN bytes or more: hash, position,
     first and last owned window start, and text. A window belongs to its leftmost least gram."""
-    h = gram_hashes(x)
-    s, w = h, 1
-    while 2 * w <= OWNERS:
-        s = np.minimum(s[:-w], s[w:])
-        w *= 2
-    if OWNERS > w:
-        s = np.minimum(s[: len(s) - (OWNERS - w)], s[OWNERS - w :])
+    h, s = _hashes_and_minima(x)
     # s[i]: the least hash of window i. The window's anchor changes where that hash does, or where it falls off the left end.
     new = np.ones(len(s), bool)
     new[1:] = (s[1:] != s[:-1]) | (h[: len(s) - 1] == s[:-1])
@@ -238,16 +251,20 @@ def segments(df: DataFrame, hashes: Hashes) -> DataFrame:
 def least_docs(text: np.ndarray, begin: np.ndarray, size: np.ndarray, docs: np.ndarray) -> np.ndarray:
     """For each window start of the text, a row of segments, the least doc of all segments that hold the same 50 bytes at
     a window start; 0 elsewhere."""
-    sa = suffix_array(text)
-    of = np.repeat(np.arange(len(begin)), size)
-    starts = sa[sa + SPAN <= begin[of[sa]] + size[of[sa]]]  # windows within their segment, in the order of suffixes
+    ends = begin + size
+    window = np.ones(len(text), bool)
+    window[(ends[:, None] - np.arange(1, SPAN)).ravel()] = False
+    sa = suffix_array(text, SPAN)
+    starts = sa[window[sa]]  # windows within their segment, in the order of suffixes
+    of = np.repeat(np.arange(len(begin), dtype=np.int32), size)
+    eight = np.ndarray(len(text) - 7, np.uint64, np.ascontiguousarray(text), strides=(1,))  # the eight bytes from each on
     same = np.zeros(len(starts), bool)
     for lo in range(1, len(starts), 200_000):  # adjacent prefixes
         a = starts[lo : lo + 200_000]
         b = starts[lo - 1 : lo - 1 + len(a)]
-        left = np.flatnonzero(text[a] == text[b])
-        for k in range(1, SPAN):
-            left = left[text[a[left] + k] == text[b[left] + k]]
+        left = np.arange(len(a))
+        for k in (*range(0, SPAN - 8, 8), SPAN - 8):
+            left = left[eight[a[left] + k] == eight[b[left] + k]]
         same[lo + left] = True
     heads = np.flatnonzero(~same)
     least = np.minimum.reduceat(docs[of[starts]], heads) if len(heads) else np.empty(0, np.int64)

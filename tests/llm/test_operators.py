@@ -632,6 +632,29 @@ def test_suffix_array():
         assert suffix_array(np.array(s, np.int64)).tolist() == sorted(range(n), key=lambda i: s[i:])
 
 
+def test_suffix_array_to_a_depth(monkeypatch):
+    rng = random.Random(8)
+    for n in (0, 1, 2, 3, 7, 31, 100, 400):
+        for letters in (1, 2, 200):
+            s = [rng.randrange(letters) for _ in range(n)]
+            for depth in (1, 2, 3, 4, 9, 10, 50):
+                got = suffix_array(np.array(s, np.int64), depth).tolist()
+                assert sorted(got) == list(range(n)) and (k := [s[i : i + depth] for i in got]) == sorted(k)
+    # windows need 50 bytes: names of 3, 9, 27 and 81, however long the repeats are
+    sizes, whole = [], suffix_array
+
+    def counted(s, *depth):
+        sizes.append(len(s))
+        return whole(s, *depth)
+
+    monkeypatch.setattr("pagewright.llm.suffix_array.suffix_array", counted)
+    monkeypatch.setattr(suffix_dedup, "suffix_array", counted)
+    row = np.frombuffer(bytes(rng.randrange(256) for _ in range(30)) * 100, np.uint8)
+    found = suffix_dedup.least_docs(np.concatenate([row, row]), np.array([0, 3000]), np.array([3000, 3000]), np.array([7, 5]))
+    assert len(sizes) == 4 and sizes[0] == 6000
+    assert set(found[:2951]) == set(found[3000:5951]) == {5} and not found[2951:3000].any() and not found[5951:].any()
+
+
 def plain_removal(data):
     """data: (doc, bytes) in the order of docs."""
     seen, out = set(), {}
